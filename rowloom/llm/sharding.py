@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -50,17 +50,18 @@ def shard_by_bytes(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_co
     rows = cut_lineage(ranged.mapInArrow(_running, schema).withColumn("__part", F.spark_partition_id()))
     totals = rows.groupBy("__part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     # One row per partition of the range exchange: its number is set by the plan, not by the data.
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = F.broadcast(
-        totals.alias("t")
-        .join(F.broadcast(totals.alias("u")), F.col("u.__part") < F.col("t.__part"), "left")
-        .groupBy(F.col("t.__part").alias("__part"))
-        .agg(F.coalesce(F.sum("u.b"), F.lit(0)).alias("__b0"), F.coalesce(F.sum("u.n"), F.lit(0)).alias("__n0"))
+        totals.select(
+            "__part",
+            F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("__b0"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n0"),
+            F.sum("b").over(Window.partitionBy(F.lit(0))).alias("__all"),
+        )
     )
-    whole = F.broadcast(totals.agg(F.sum("b").alias("__all")))
     middle = F.col("__b0") + F.col("__before") + F.col("size") / 2
     placed = (
         rows.join(parts, "__part")
-        .join(whole)
         .withColumn("__index", F.col("__n0") + F.col("__row"))
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.col("__all"))).cast("int"))
     )
