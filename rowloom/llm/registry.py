@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from rowloom.llm import exact_dedup, sharding
+from rowloom.llm import chat_format, decontam, exact_dedup, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_decontamination": decontam.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
+        "op8_chat_formatting": chat_format.op8_chat_formatting,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontam.SQL,
         "op6_sharding": sharding.SQL,
+        "op8_chat_formatting": chat_format.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
     }
