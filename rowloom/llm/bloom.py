@@ -44,3 +44,45 @@ def flag_repeated(df: DataFrame, key: str, bitmaps: DataFrame, log2_slots: int,
         )
         passed = passed & hit
     return df.withColumn(flag, passed).drop(*[f"__{n}{i}" for i in range(hashes) for n in ("chunk", "bits", "slot")])
+
+
+def presence_filter(keys: DataFrame, key: str, log2_slots: int, hashes: int) -> DataFrame:
+    """(chunk, bits) rows over the slots that any row of ``keys`` sets; same size bound as above."""
+    slots = keys.select(F.explode(F.array(*[_slot(F.col(key), i, log2_slots) for i in range(hashes)])).alias("slot"))
+    return slots.groupBy(F.floor(F.col("slot") / _CHUNK).alias("chunk")).agg(
+        F.expr(f"bitmap_construct_agg(slot % {_CHUNK})").alias("bits")
+    )
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart where ids may repeat: the id and a hash of the text."""
+    return [F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, log2_slots: int = 26, hashes: int = 2) -> DataFrame:
+    """``df`` without the rows whose (id, text hash) is in ``gone`` (columns ``__id``, ``__hash``).
+
+    Rows outside the filter of ``gone`` pass straight through; only the others are shuffled to the
+    anti join, so the texts that stay are mostly not moved.
+    """
+    both = lambda d: d.withColumn("__key", F.xxhash64("__id", "__hash"))
+    bitmaps = presence_filter(both(gone).select("__key"), "__key", log2_slots, hashes)
+    keyed = both(df.select("*", *row_key(id_col, text_col)))
+    flagged = flag_repeated(keyed, "__key", bitmaps, log2_slots, hashes, "__maybe")
+    there = gone.select(F.col("__id").alias("__gid"), F.col("__hash").alias("__ghash"))
+    maybe = flagged.filter("__maybe").join(
+        there, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__hash") == F.col("__ghash")), "left_anti"
+    )
+    columns = [f"`{c}`" for c in df.columns]
+    return flagged.filter(~F.col("__maybe")).select(*columns).unionByName(maybe.select(*columns))
+
+
+def with_rows(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, log2_slots: int = 26, hashes: int = 2) -> DataFrame:
+    """The rows of ``df`` whose (id, text hash) is in ``wanted``, joined with the columns of ``wanted``."""
+    both = lambda d: d.withColumn("__key", F.xxhash64("__id", "__hash"))
+    bitmaps = presence_filter(both(wanted).select("__key"), "__key", log2_slots, hashes)
+    keyed = both(df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text")))
+    maybe = flag_repeated(keyed, "__key", bitmaps, log2_slots, hashes, "__maybe").filter("__maybe").drop("__maybe", "__key")
+    there = wanted.withColumnsRenamed({"__id": "__gid", "__hash": "__ghash"})
+    met = maybe.join(there, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__hash") == F.col("__ghash")))
+    return met.drop("__gid", "__ghash")

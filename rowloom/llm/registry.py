@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rowloom.llm import chat_format, decontam, exact_dedup, sharding
+from rowloom.llm import chat_format, decontam, exact_dedup, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op4_decontamination": decontam.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
