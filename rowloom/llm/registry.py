@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rowloom.llm import chat_format, decontam, exact_dedup, sharding, simhash
+from rowloom.llm import chat_format, decontam, exact_dedup, sentencepiece_fst, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op4_decontamination": decontam.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
