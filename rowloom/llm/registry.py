@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from rowloom.llm import chat_format, decontam, exact_dedup, sentencepiece_fst, sharding, simhash
+from rowloom.llm import chat_format, decontam, exact_dedup, sentencepiece_fst, sharding, simhash, toxicity
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": simhash.op1_simhash,
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontam.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
@@ -17,7 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    import corpus_pipeline
+
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return sql | {
         "op4_decontamination": decontam.SQL,
         "op6_sharding": sharding.SQL,
         "op8_chat_formatting": chat_format.SQL,
