@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from rowloom.llm import chat_format, decontam, exact_dedup, sentencepiece_fst, sharding, simhash, toxicity
+from rowloom.llm import (
+    chat_format,
+    decontam,
+    exact_dedup,
+    line_dedup,
+    sentencepiece_fst,
+    sharding,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -14,7 +24,9 @@ def queries() -> dict:
         "op2_sentencepiece": sentencepiece_fst.op2_sentencepiece,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontam.op4_decontamination,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_sharding": sharding.op6_sharding,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
