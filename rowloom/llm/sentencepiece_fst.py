@@ -34,7 +34,7 @@ from rowloom.llm.common import table
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose paths a worker remembers; the table is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _NORMAL, _USER, _UNUSED, _BYTE, _UNKNOWN = 1, 4, 5, 6, 2
 _UNIGRAM, _BPE = 1, 2
 INFINITY = float("inf")
@@ -60,6 +60,19 @@ def read_model(path: str) -> dict:
     }
 
 
+class _Remembered(dict):
+    """Words and the ids of their paths; finds the path of a word when it is first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = got = self.find(word)
+        return got
+
+
 class Transducer:
     def __init__(self, model: dict):
         self.model, self.pieces = model, model["pieces"]
@@ -72,7 +85,7 @@ class Transducer:
         self.text_of = [self._bytes_of(*p) for p in self.pieces]
         #: Pairs of neighbouring characters in pieces: between any others no path has to be carried on.
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.remembered: dict[str, bytes] = {}
+        self.remembered = _Remembered(self._word)
         if model["bpe"]:
             ranked = sorted({s for s in self.score.values()}, reverse=True)
             level = {s: r + 1 for r, s in enumerate(ranked)}
@@ -124,47 +137,66 @@ class Transducer:
 
     def path(self, word: str) -> list[int]:
         """Ids along the shortest path of the transducer composed with ``word`` (normalised)."""
-        n, ids, bpe, states, usable = len(word), self.id_of, self.model["bpe"], self.states, self.usable
-        cost: list[float] = [0.0] + [INFINITY] * n
-        came: list = [(0, None)] * (n + 1)
-        for k in range(n):
-            base = cost[k]
-            if base == INFINITY:
-                continue
-            before = came[k][1]
-            for i in range(k + 1, n + 1):
-                piece = word[k:i]
-                if piece not in states:
+        pieces = self._allowed_path(word) if self.model["bpe"] else self._lightest_path(word)
+        ids = self.id_of
+        return [x for p in pieces for x in ([ids[p]] if p in ids else self._spelled(p))]
+
+    def _arcs(self, word: str, k: int) -> list[str]:
+        """Pieces that the transducer can read from position k, shortest first; else the character."""
+        found, states, usable = [], self.states, self.usable
+        for i in range(k + 1, len(word) + 1):
+            piece = word[k:i]
+            if piece not in states:
+                break
+            if piece in usable:
+                found.append(piece)
+        return found or [word[k]]
+
+    def _allowed_path(self, word: str) -> list[str]:
+        """The path of weight zero, depth first, longer pieces first.
+
+        A prefix has one allowed path only, so a position that leads nowhere is never met again.
+        """
+        n, border, trail, k = len(word), self._border, [], 0
+        arcs, before = self._arcs(word, 0) if n else [], None
+        while k < n:
+            while arcs:
+                piece = arcs.pop()
+                if before is None or before not in self.usable or piece not in self.usable or border(before, piece) == 0:
                     break
-                if base < cost[i] and piece in usable:
-                    total = base + (-self.score[piece] if not bpe else self._border(before, piece) if before else 0.0)
-                    if total < cost[i]:
-                        cost[i], came[i] = total, (k, piece)
-            if word[k] not in ids:  # byte fallback; nothing merges with it
-                cost[k + 1], came[k + 1] = base + (0.0 if bpe else 1e6), (k, None)
-        out: list[list[int]] = []
-        i = n
-        while i:
-            k, piece = came[i]
-            out.append([ids[piece]] if piece else self._spelled(word[k:i]))
-            i = k
-        return [x for part in reversed(out) for x in part]
+            else:
+                k, arcs, before = trail.pop()[1:]
+                continue
+            trail.append((piece, k, arcs, before))
+            k, before = k + len(piece), piece
+            if k < n:
+                arcs = self._arcs(word, k)
+        return [t[0] for t in trail]
+
+    def _lightest_path(self, word: str) -> list[str]:
+        n, score = len(word), self.score
+        cost, came = [0.0] + [INFINITY] * n, [""] * (n + 1)
+        for k in range(n):
+            for piece in self._arcs(word, k):
+                i = k + len(piece)
+                total = cost[k] - score[piece] if piece in score else cost[k] + 1e6  # no piece has the character
+                if total < cost[i]:
+                    cost[i], came[i] = total, piece
+        out = []
+        while n:
+            out.append(came[n])
+            n -= len(came[n])
+        return out[::-1]
 
     def _spelled(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()] if self.model["fallback"] else [self.unknown]
 
     def _word(self, word: str) -> bytes:
-        got = self.remembered.get(word)
-        if got is None:
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
-            if cuts:
-                got = b"".join([self._word(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-            else:
-                got = np.array(self.path(word), np.int32).tobytes()
-            self.remembered[word] = got
-        return got
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if cuts:
+            return b"".join([self.remembered[word[i:j]] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+        return np.array(self.path(word), np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -172,10 +204,7 @@ class Transducer:
         whole = (MARK if self.model["prefix"] else "") + text.replace(" ", MARK)
         words = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", whole) if self.by_word else [whole]
         known = self.remembered
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
-        except KeyError:
-            return np.frombuffer(b"".join([self._word(w) for w in words]), np.int32)
+        return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
 
     def decode(self, ids) -> str:
         of = self.text_of
