@@ -33,7 +33,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from rowloom.llm.common import table
 
 CATEGORIES = ("low_quality", "toxic")
-SAMPLE, FOLDS, KEPT = 8000, 5, 4096
+SAMPLE, FOLDS, KEPT = 4000, 5, 4096
 #: Distinct words whose features a worker remembers; the table is emptied when full.
 REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,19 +57,18 @@ class LinearModel:
         if not 0 < pos < n:
             self.bias = 12.0 if pos and pos == n else -12.0
             return
-        flat, row = np.concatenate([*sets, np.zeros(0, np.uint32)]), np.repeat(np.arange(n), [len(s) for s in sets])
-        names, at = np.unique(flat, return_inverse=True)
-        inside = np.bincount(at, weights=y[row], minlength=len(names))
-        seen = np.bincount(at, minlength=len(names))
+        names, seen = np.unique(np.concatenate(sets), return_counts=True)
+        inside = np.zeros(len(names))
+        for s, positive in zip(sets, y, strict=True):
+            if positive:
+                inside[np.searchsorted(names, s)] += 1
         rate = seen / n
         z = (inside / pos - (seen - inside) / (n - pos)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / pos + 1 / (n - pos)))
-        z[(np.minimum(seen, n) < 4) | (np.abs(z) < 3)] = 0
+        z[(seen < 4) | (np.abs(z) < 3)] = 0
         best = np.argsort(-np.abs(z), kind="stable")[:kept]
-        best = best[z[best] != 0]
-        slot = np.full(len(names), -1)
-        slot[best] = np.arange(len(best))
-        use = slot[at] >= 0
-        row, col = row[use], slot[at][use]
+        best = np.sort(best[z[best] != 0])
+        found = [np.flatnonzero(np.isin(names[best], s, assume_unique=True)) for s in sets]
+        row, col = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)])
         w, dw, b = np.zeros(len(best)), np.zeros(dense.shape[1]), float(np.log(pos / (n - pos)))
         gw, gd, gb = np.full(len(best), 1e-8), np.full(len(dw), 1e-8), 1e-8
         for _ in range(steps):  # AdaGrad on the whole sample
@@ -93,6 +92,10 @@ class Chain:
 
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS):
         n = len(sets)
+        if n:  # features of under 4 texts are never kept
+            names, seen = np.unique(np.concatenate(sets), return_counts=True)
+            names = names[seen >= 4]
+            sets = [s[np.isin(s, names, assume_unique=True)] for s in sets]
         fold, self.models, made = np.arange(n) % folds, [], np.zeros((n, 0))
         lists = [s.tolist() for s in sets]
         for c in range(labels.shape[1]):
