@@ -7,6 +7,7 @@ from rowloom.llm import (
     decontam,
     exact_dedup,
     line_dedup,
+    lm_scoring,
     sentencepiece_fst,
     sharding,
     simhash,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     }
 
 
