@@ -1,9 +1,15 @@
-"""Registered queries and their SQL."""
+"""Registered queries, one for each operator, and their SQL."""
+
+from __future__ import annotations
+
+from rowloom.plans import group_queries
+
+_ALL = (group_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _ALL for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in _ALL for name, s in m.SQL.items()}
