@@ -59,5 +59,12 @@ def strptime_nanos(text: Column, pattern: str) -> Column:
             spark, i = spark + (f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]), i + 1
     fraction = F.regexp_extract(text, r"\.(\d{1,9})$", 1)
     whole = F.regexp_replace(text, r"\.\d{1,9}$", "")
-    seconds = F.unix_seconds(F.try_to_timestamp(whole, F.lit(spark)))
+    # A zone of its own makes the result the same in any session's zone.
+    seconds = F.unix_seconds(F.try_to_timestamp(F.concat(whole, F.lit(" +0000")), F.lit(spark + " xx")))
     return F.coalesce(seconds * 1_000_000_000 + F.coalesce(F.rpad(fraction, 9, "0").try_cast("long"), F.lit(0)), F.lit(0).cast("long"))
+
+
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp's wall clock, whatever the session's time zone."""
+    minutes = (F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INF, _NAN = F.lit(float("inf")), F.lit(float("nan"))
+_INF, _NAN = float("inf"), float("nan")
 
 
 def negative_zero(x: Column) -> Column:

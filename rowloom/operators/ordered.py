@@ -27,9 +27,9 @@ def with_position(df: DataFrame, order_by: list, name: str = "position") -> Data
     placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(_LOCAL))
     # One row per partition; the partition count is set by the plan.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = F.broadcast(sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")))
-    return placed.join(offsets, "__part").withColumn(name, F.col("__offset") + F.col("__at")).drop("__id", "__part", "__at", "__n", "__offset")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = F.broadcast(sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset")))
+    return placed.join(offsets, "__part").withColumn(name, F.col("__offset") + F.col("__at")).drop("__id", "__part", "__at", "__rows", "__offset")
 
 
 def windowed(df: DataFrame, order_by: list, reach: int, make: Callable[[Window], dict[str, Column]], ahead: int = 0) -> DataFrame:

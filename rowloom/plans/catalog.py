@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rowloom.plans import group_queries
+from rowloom.plans import element_queries, group_queries, order_queries
 
-_ALL = (group_queries,)
+_ALL = (group_queries, order_queries, element_queries)
 
 
 def queries() -> dict:

@@ -228,11 +228,7 @@ def regroup_mapping(spark, sf):
     return grouping.remap(table(spark, sf, "nation"), "n_regionkey", mapping, "region").select("n_nationkey", "region")
 
 
-@query("""
-SELECT event_id, count(*) OVER w - 1 AS running, (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events)) AS uniques
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)
-""")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1 AS running FROM events")
 def running_group_count(spark, sf):
-    e = table(spark, sf, "events")
-    packed = grouping.pack(e, ["user_id"], "event_id").select("event_id", F.col("place").cast("long").alias("running"))
-    return packed.join(F.broadcast(e.agg(F.count_distinct("user_id").alias("uniques"))))
+    packed = grouping.pack(table(spark, sf, "events"), ["user_id"], "event_id")
+    return packed.select("event_id", F.col("place").cast("long").alias("running"))
