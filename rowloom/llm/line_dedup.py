@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bloom import flag_repeated, presence_filter, row_key
-from rowloom.llm.common import cut_lineage, table
+from rowloom.llm.common import cut_lineage, table, tidy
 from rowloom.llm.rewrite import rewrite
 
 MIN_CHARS = 40
@@ -59,7 +59,7 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["__id", "__hash", "line", "size", "at"])
 
     rows = df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"__id {kind}, __hash long, line long, size int, at array<int>")
+    return rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, line long, size int, at array<int>")
 
 
 def patience(shared: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
@@ -131,7 +131,7 @@ def common_lines(df: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     met = maybe.join(firsts, "line").filter(doc > F.col("holder")).dropDuplicates(["__id", "__hash", "line"])
     pairs = met.groupBy("__id", "__hash", "holder").agg(F.collect_list(F.struct("size", "at", "first_at")).alias("shared"))
     kind = df.schema[id_col].dataType.simpleString()
-    gone = pairs.select("__id", "__hash", "shared").mapInArrow(_align(min_chars), f"__id {kind}, __hash long, gone array<int>")
+    gone = pairs.select("__id", "__hash", "shared").mapInArrow(tidy(_align(min_chars)), f"__id {kind}, __hash long, gone array<int>")
     lines = gone.select("__id", "__hash", F.explode("gone").alias("x"))
     return lines.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("x")).alias("marks"))
 

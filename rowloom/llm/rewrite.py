@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rowloom.llm.bloom import flag_repeated, presence_filter, row_key
+from rowloom.llm.common import tidy
 
 
 def rewrite(df: DataFrame, marks: DataFrame, change, id_col: str, text_col: str, log2_slots: int = 26, hashes: int = 2) -> DataFrame:
@@ -37,4 +38,4 @@ def rewrite(df: DataFrame, marks: DataFrame, change, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64())], names=names)
 
     schema = StructType([*df.schema.fields, StructField("removed_chars", LongType())])
-    return plain.unionByName(maybe.mapInArrow(run, schema))
+    return plain.unionByName(maybe.mapInArrow(tidy(run), schema))

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from rowloom.llm.common import table
+from rowloom.llm.common import table, tidy
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Rows that are encoded at once.
+_ROWS = 256
 #: Words whose paths a worker remembers; the table is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _NORMAL, _USER, _UNUSED, _BYTE, _UNKNOWN = 1, 4, 5, 6, 2
 _UNIGRAM, _BPE = 1, 2
 INFINITY = float("inf")
@@ -235,7 +237,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
 
     def run(batches):
         fst = _transducer(shared.value)
-        for b in batches:
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             texts = b.column(at).to_pylist()
             made = [None if t is None else fst.encode(t) for t in texts]
             ends = np.cumsum([0] + [0 if x is None else len(x) for x in made]).astype(np.int32)
@@ -248,7 +250,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
     fields = [*df.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False))]
     if check:
         fields.append(StructField(check, BooleanType()))
-    return df.mapInArrow(run, StructType(fields))
+    return df.mapInArrow(tidy(run), StructType(fields))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -263,7 +265,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: s
             texts = pa.array([None if x is None else fst.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(text_col, StringType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(text_col, StringType())]))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

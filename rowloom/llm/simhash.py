@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.bitslice import forest, pairs_within
 from rowloom.llm.bloom import row_key, with_rows, without_rows
-from rowloom.llm.common import cut_lineage, shuffle_width, table
+from rowloom.llm.common import cut_lineage, shuffle_width, table, tidy
 from rowloom.llm.graph import components
 
 #: Rows of a bucket that one group compares; larger buckets are cut.
 BUCKET = 8192
 #: Rows that are compared at once, in whole groups.
-_CHUNK = 131_072
+_CHUNK = 65_536
 #: Shingles whose bits are counted at once.
 _BLOCK = 32_768
 
@@ -87,7 +87,7 @@ def fingerprints(df: DataFrame, k: int, bits: int, id_col: str, text_col: str) -
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    return cut_lineage(rows.mapInArrow(run, f"__id {kind}, __hash long, fp binary"))
+    return cut_lineage(rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, fp binary"))
 
 
 def pigeonhole_keys(bits: int, radius: int) -> list[np.ndarray]:
@@ -115,7 +115,7 @@ def _spread(nodes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key * len(keys) + t), b.column("node"), raw], names=["key", "node", "fp"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp binary")
+    return nodes.select("node", "fp").mapInArrow(tidy(run), "key long, node long, fp binary")
 
 
 def _links(radius: int):
@@ -184,7 +184,7 @@ def links(nodes: DataFrame, keys: list[np.ndarray], radius: int, bucket: int = B
     rows = rows.withColumn("their", F.explode(every)).select(
         "key", F.least("mine", "their").alias("part"), F.greatest("mine", "their").alias("other"), "node", "fp")
     dealt = rows.repartition(shuffle_width(nodes.sparkSession), "key", "part", "other")
-    return dealt.sortWithinPartitions("key", "part", "other").mapInArrow(_links(radius), "a long, b long, d long")
+    return dealt.sortWithinPartitions("key", "part", "other").mapInArrow(tidy(_links(radius)), "a long, b long, d long")
 
 
 def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3, keys: list[np.ndarray] | None = None,
@@ -219,7 +219,7 @@ def _similar(df, nodes, found, k, least, id_col, text_col) -> DataFrame:
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("first.__id").alias("__id"), F.col("first.__hash").alias("__hash"))
     texts = with_rows(df, wanted, id_col, text_col).dropDuplicates(["node"])
-    sets = cut_lineage(texts.select("node", "__text").mapInArrow(run, "node long, set array<long>"))
+    sets = cut_lineage(texts.select("node", "__text").mapInArrow(tidy(run), "node long, set array<long>"))
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     met = F.size(F.array_intersect("x", "y"))

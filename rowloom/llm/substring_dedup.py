@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.bloom import flag_repeated, presence_filter, row_key
-from rowloom.llm.common import cut_lineage, table
+from rowloom.llm.common import cut_lineage, table, tidy
 from rowloom.llm.rewrite import rewrite
 
 REACH, MIN_WORDS = 4, 15
@@ -79,7 +79,7 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["__id", "__hash", "number", "start", "end", "words", "d1", "d2"])
 
     rows = df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"__id {kind}, __hash long, number int, start int, end int, words int, d1 long, d2 long")
+    return rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, number int, start int, end int, words int, d1 long, d2 long")
 
 
 def repeated_runs(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from rowloom.llm.common import table
+from rowloom.llm.common import table, tidy
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE, FOLDS, KEPT = 4000, 5, 4096
 #: Distinct words whose features a worker remembers; the table is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "low_quality", "toxic")] + [made], names=["doc_id", "low_quality", "toxic", "f"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, low_quality int, toxic int, f binary"
-    found = rows.withColumn("toxic", F.col("toxic").cast("int")).select("doc_id", "__text", "low_quality", "toxic").mapInArrow(run, schema)
+    found = rows.withColumn("toxic", F.col("toxic").cast("int")).select("doc_id", "__text", "low_quality", "toxic").mapInArrow(tidy(run), schema)
     kept = {}  # repeated rows of an id count once
     for r in found.collect():
         if r.doc_id not in kept or bytes(r.f) < kept[r.doc_id][0]:
@@ -184,7 +184,7 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *odds, pa.array(made[:, -1] >= limit)], names=names)
 
     fields = [StructField(c, BooleanType() if c == "rejected" else DoubleType()) for c in added]
-    return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, *fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
