@@ -184,7 +184,7 @@ def links(nodes: DataFrame, keys: list[np.ndarray], radius: int, bucket: int = B
     rows = rows.withColumn("their", F.explode(every)).select(
         "key", F.least("mine", "their").alias("part"), F.greatest("mine", "their").alias("other"), "node", "fp")
     dealt = rows.repartition(shuffle_width(nodes.sparkSession), "key", "part", "other")
-    return dealt.sortWithinPartitions("key", "part", "other").mapInArrow(tidy(_links(radius)), "a long, b long, d long")
+    return dealt.sortWithinPartitions("key", "part", "other", "node").mapInArrow(tidy(_links(radius)), "a long, b long, d long")
 
 
 def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3, keys: list[np.ndarray] | None = None,
