@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut_lineage, shuffle_width, table
+from rowloom.llm.common import cut_lineage, shuffle_width, table, tidy
 from rowloom.llm.pitman_yor import DISCOUNT, STRENGTH, Model
 
 #: 32 parents of 128 contexts each, and the start of a text.
@@ -150,7 +150,7 @@ def _batches(df: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     names = ["batch", "part", "entries", "places", "tokens", "row", "__id", "__held"]
-    return df.mapInArrow(run, f"batch long, part int, entries binary, places binary, tokens long, row int, __id {kind}, __held boolean")
+    return df.mapInArrow(tidy(run), f"batch long, part int, entries binary, places binary, tokens long, row int, __id {kind}, __held boolean")
 
 
 def _merge(batches):
@@ -198,15 +198,22 @@ _MERGED = "part int, counts binary, words long, customers array<long>, types arr
 
 
 def _sums(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Element-wise sums of array columns of fixed length."""
-    out = []
-    for c in columns:
-        rows = df.select(F.posexplode(c).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(CONTEXTS if c in ("customers", "types", "tables") else PARENTS + 1 if c == "parents" else 1)
-        for r in rows:
-            total[r.k] = r.v
-        out.append(total)
-    return out
+    """Element-wise sums of array columns of fixed length.
+
+    About the square root of the rows reach the driver, each with the sum of as many.
+    """
+    lengths = {"customers": CONTEXTS, "types": CONTEXTS, "tables": CONTEXTS, "parents": PARENTS + 1, "root": 1}
+
+    def run(batches):
+        total = [np.zeros(lengths[c]) for c in columns]
+        for b in batches:
+            for t, column in zip(total, b.columns, strict=True):
+                t += np.array(column.to_pylist(), float).sum(axis=0) if b.num_rows else 0
+        yield pa.RecordBatch.from_arrays([pa.array([t.tolist()], pa.list_(pa.float64())) for t in total], names=list(columns))
+
+    groups = max(1, round(shuffle_width(df.sparkSession) ** 0.5))
+    few = df.select(*columns).coalesce(groups).mapInArrow(tidy(run), ", ".join(f"{c} array<double>" for c in columns)).collect()
+    return [np.sum([np.zeros(lengths[c]), *(np.array(r[c]) for r in few)], axis=0) for c in columns]
 
 
 def _entries(blob: bytes):
@@ -290,12 +297,35 @@ def _score(totals: dict):
                 doc = step - shift
                 sums = [np.bincount(doc, weights=np.repeat(x, many)) for x in (np.log10(p), np.log10((seen + 0.5) / base_total), (seen > 0).astype(float))]
                 rows = np.flatnonzero(np.bincount(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), r["batch"])), pa.array(rows.astype(np.int32)), *(pa.array(x[rows]) for x in sums)], names=["batch", "row", "s", "b", "k"])
+                packed = _pack(rows.astype(np.int32), *(x[rows] for x in sums))
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]]), pa.array([packed], pa.binary())], names=["batch", "sums"])
 
     return run
 
 
+def _add(batches):
+    """The sums of each document of a batch, from those of all word partitions."""
+    batch, total = None, []
+
+    def emit():
+        n = len(total[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, total)], names=["batch", "row", "s", "b", "k"])
+
+    for b in batches:
+        for key, blob in zip(b.column("batch").to_pylist(), b.column("sums").to_pylist(), strict=True):
+            if key != batch:
+                if batch is not None:
+                    yield emit()
+                batch, total = key, [np.zeros(0)] * 3
+            rows, *sums = _unpack(blob)
+            if len(rows) and rows[-1] >= len(total[0]):
+                total = [np.r_[t, np.zeros(rows[-1] + 1 - len(t))] for t in total]
+            for t, x in zip(total, sums, strict=True):
+                t[rows] += x
+    if batch is not None:
+        yield emit()
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = df.sparkSession
@@ -305,13 +335,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     batches = cut_lineage(_batches(slim, parts))
     docs, entries = batches.filter("part < 0"), batches.filter("part >= 0")
     merged = cut_lineage(
-        entries.select("part", "entries").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, _MERGED))
+        entries.select("part", "entries").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_merge), _MERGED))
     sizes = merged.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
     customers, types, parents = _sums(merged, "customers", "types", "parents")
     totals = {"vocabulary": int(sizes[0]), "tokens": float(customers.sum()), "c_context": customers, "t_context": types, "t_parent": parents, "t_root": float(sizes[0])}
-    first = merged.select("part", "counts").mapInArrow(_seat(totals, 1, 0, 1, False), _SEATED)
+    first = merged.select("part", "counts").mapInArrow(tidy(_seat(totals, 1, 0, 1, False)), _SEATED)
     totals |= _tables(first, totals)
-    seated = cut_lineage(merged.select("part", "counts").mapInArrow(_seat(totals, SWEEPS, BURN_IN, MOVES, True), _SEATED))
+    seated = cut_lineage(merged.select("part", "counts").mapInArrow(tidy(_seat(totals, SWEEPS, BURN_IN, MOVES, True)), _SEATED))
     totals |= _tables(seated, totals)
     # Partitions with many entries are dealt to several tasks.
     load = entries.groupBy("part").agg(F.sum("tokens").alias("n"))
@@ -322,8 +352,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("batch"),
         F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("places"), "model")
     met = models.unionByName(asked).repartition(parts, "part", "deal").sortWithinPartitions("part", "deal", F.col("batch").asc_nulls_first())
-    sums = met.mapInArrow(_score(totals), "batch long, row int, s double, b double, k double")
-    sums = sums.groupBy("batch", "row").agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("k").alias("k"))
+    partial = met.mapInArrow(tidy(_score(totals)), "batch long, sums binary").repartition(parts, "batch").sortWithinPartitions("batch")
+    sums = partial.mapInArrow(tidy(_add), "batch long, row int, s double, b double, k double")
     return docs.select("batch", "row", "__id", "__held", F.col("tokens").alias("n_tokens")).join(sums, ["batch", "row"]).select(
         F.col("__id").alias(id_col), F.col("__held").alias("held_out"), "n_tokens", F.round("k").cast("long").alias("n_known"),
         F.lit(int(totals["tokens"])).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("s").alias("score"))
