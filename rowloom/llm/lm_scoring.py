@@ -228,17 +228,17 @@ def _seat(totals: dict, sweeps: int, burn_in: int, moves: int, keep: bool):
             for part, blob in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 words, word, context, n = _entries(blob)
                 model = Model(word, context, n, PARENT_OF, totals["t_context"], totals["t_parent"], totals["t_root"], totals["vocabulary"], part)
-                tables, p_mid, p_root = model.sample(sweeps, burn_in, moves)
+                tables, mid_tables, mid_left, root_tables, root_left = model.sample(sweeps, burn_in, moves)
                 made = np.bincount(context, weights=tables, minlength=CONTEXTS)
-                parents = np.bincount(model.mid, weights=model.mid_tables, minlength=PARENTS + 1)
+                parents = np.bincount(model.mid, weights=mid_tables, minlength=PARENTS + 1)
                 per_word = np.bincount(word, minlength=len(words)).astype(np.uint16)
                 mids = np.bincount(model.mid_word, minlength=len(words)).astype(np.uint8)
                 count = np.add.reduceat(n, np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
                 held = _pack(words, per_word, context.astype(np.uint16), (n - DISCOUNT[0] * tables).astype(np.float32), mids, model.mid.astype(np.uint8),
-                             p_mid.astype(np.float32), p_root.astype(np.float32), count) if keep else None
+                             mid_left.astype(np.float32), root_left.astype(np.float32), count) if keep else None
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([held], pa.binary()), pa.array([made], pa.list_(pa.float64())),
-                     pa.array([parents], pa.list_(pa.float64())), pa.array([[float(model.root_tables.sum())]], pa.list_(pa.float64()))],
+                     pa.array([parents], pa.list_(pa.float64())), pa.array([[float(root_tables.sum())]], pa.list_(pa.float64()))],
                     names=["part", "model", "tables", "parents", "root"])
 
     return run
@@ -251,8 +251,9 @@ def _score(totals: dict):
     """log10 probabilities of the entries that batches hold, added up by document."""
     c, t = totals["c_context"], totals["t_context"]
     back = (STRENGTH[0] + DISCOUNT[0] * t) / (STRENGTH[0] + c)
-    back_mid = (STRENGTH[1] + DISCOUNT[1] * totals["t_parent"]) / (STRENGTH[1] + np.bincount(PARENT_OF, weights=t, minlength=PARENTS + 1))
-    unknown = (STRENGTH[2] + DISCOUNT[2] * totals["t_root"]) / (STRENGTH[2] + totals["t_parent"].sum()) / (totals["vocabulary"] + 1)
+    c_mid, c_root = STRENGTH[1] + np.bincount(PARENT_OF, weights=t, minlength=PARENTS + 1), STRENGTH[2] + totals["t_parent"].sum()
+    back_mid = (STRENGTH[1] + DISCOUNT[1] * totals["t_parent"]) / c_mid
+    unknown = (STRENGTH[2] + DISCOUNT[2] * totals["t_root"]) / c_root / (totals["vocabulary"] + 1)
     base_total = totals["tokens"] + 0.5 * (totals["vocabulary"] + 1)
 
     def find(sorted_keys, keys):
@@ -261,11 +262,12 @@ def _score(totals: dict):
 
     def load(blob):
         if blob is None:
-            return np.zeros(0, np.uint64), *(np.zeros(0),) * 6, np.zeros(0)
-        words, per_word, context, left, mids, mid, p_mid, p_root, count = _unpack(blob)
+            return np.zeros(0, np.uint64), *(np.zeros(0),) * 6
+        words, per_word, context, left, mids, mid, mid_left, root_left, count = _unpack(blob)
         n = np.arange(len(words))
-        return (words, np.repeat(n, per_word) * CONTEXTS + context, left.astype(float), np.repeat(n, mids) * (PARENTS + 1) + mid,
-                p_mid.astype(float), p_root.astype(float), count)
+        p_root = root_left.astype(float) / c_root + unknown
+        p_mid = mid_left.astype(float) / c_mid[mid] + back_mid[mid] * np.repeat(p_root, mids)
+        return words, np.repeat(n, per_word) * CONTEXTS + context, left.astype(float), np.repeat(n, mids) * (PARENTS + 1) + mid, p_mid, p_root, count
 
     def run(batches):
         part, model = None, None
@@ -339,7 +341,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     sizes = merged.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
     customers, types, parents = _sums(merged, "customers", "types", "parents")
     totals = {"vocabulary": int(sizes[0]), "tokens": float(customers.sum()), "c_context": customers, "t_context": types, "t_parent": parents, "t_root": float(sizes[0])}
-    first = merged.select("part", "counts").mapInArrow(tidy(_seat(totals, 1, 0, 1, False)), _SEATED)
+    first = merged.select("part", "counts").mapInArrow(tidy(_seat(totals, 2, 1, 1, False)), _SEATED)
     totals |= _tables(first, totals)
     seated = cut_lineage(merged.select("part", "counts").mapInArrow(tidy(_seat(totals, SWEEPS, BURN_IN, MOVES, True)), _SEATED))
     totals |= _tables(seated, totals)

@@ -38,6 +38,9 @@ class Seating:
         """Seat all customers anew; ``opening`` is the weight of opening a table for each entry."""
         rng, d = self.rng, self.d
         n, a = self.n[self.entry].astype(np.float64), opening[self.entry]
+        self.tables = np.minimum(self.n, 1).astype(np.float64)
+        if not len(n):
+            return
         # Slots: what the first customers can open, the expected later openings, and spare ones.
         few = np.minimum(n, ONE_BY_ONE)
         later = np.minimum(rng.poisson(a * np.log((n + a) / (few + a))), n - few)
@@ -71,7 +74,6 @@ class Seating:
             held = np.add.reduceat(self.size, self.start)
             self.size[self.start[rest]] += (n - held)[rest]
         self.t = t
-        self.tables = np.minimum(self.n, 1).astype(np.float64)
         self.tables[self.entry] = t
 
     def _sit(self, who: np.ndarray, t: np.ndarray) -> None:
@@ -81,9 +83,9 @@ class Seating:
 
     def gibbs(self, opening: np.ndarray, moves: int) -> None:
         """In each entry, ``moves`` times, one customer gets up and sits down again by the conditional."""
-        rng, d, t = self.rng, self.d, self.t
         if not len(self.entry):
             return
+        rng, d, t = self.rng, self.d, self.t
         n, a = self.n[self.entry].astype(np.float64), opening[self.entry]
         for _ in range(moves):
             slot = _pick(self.start, rng.random(len(n)), self.size, n)
@@ -122,37 +124,41 @@ class Model:
         return (STRENGTH[level] + DISCOUNT[level] * self.t[level][where]) * below
 
     def sample(self, sweeps: int, burn_in: int, moves: int):
-        """Average tables of the entries and average predictive of parents and root after ``burn_in``."""
+        """Averages over the sweeps after ``burn_in`` (1 at least): the tables of the entries, of their parents
+        and of the root, and the customers of parents and root less the discount of their tables.
+
+        Given the restaurants' totals the predictive probabilities are linear in these, so their average is
+        the prediction from the averages.
+        """
         if not self.words:
-            return np.zeros(0), np.zeros(0), np.zeros(0)
+            return [np.zeros(0)] * 5
         leaf = Seating(self.n, 0, self.rng, sweeps * moves)
         leaf.tables = np.minimum(self.n, 1)
-        got = [np.zeros(len(self.n)), np.zeros(len(self.mid)), np.zeros(self.words)]
+        got = [np.zeros(len(self.n)), *(np.zeros(len(self.mid)) for _ in range(2)), *(np.zeros(self.words) for _ in range(2))]
         c_parent, c_root = self._customers()
+        base = np.full(self.words, float(self._opening(2, 0, self.uniform)))
+        root = Seating(np.bincount(self.mid_word, minlength=self.words).astype(float), 2, self.rng, moves)
+        root.seat(base)
         for sweep in range(sweeps):
             c_mid = np.bincount(self.up, weights=leaf.tables, minlength=len(self.mid))
             mid = Seating(c_mid, 1, self.rng, moves)
-            root = Seating(np.bincount(self.mid_word, minlength=self.words).astype(float), 2, self.rng, moves)
-            base = np.full(self.words, float(self._opening(2, 0, self.uniform)))
-            root.seat(base)
-            p_root = self._root(root, base, c_root)
-            mid_open = self._opening(1, self.mid, p_root[self.mid_word])
+            mid_open = self._opening(1, self.mid, self._root(root, base, c_root)[self.mid_word])
             mid.seat(mid_open)
             mid.gibbs(mid_open, moves)
             root = Seating(np.bincount(self.mid_word, weights=mid.tables, minlength=self.words), 2, self.rng, moves)
             root.seat(base)
             root.gibbs(base, moves)
-            p_root = self._root(root, base, c_root)
-            mid_open = self._opening(1, self.mid, p_root[self.mid_word])
-            p_mid = (c_mid - DISCOUNT[1] * mid.tables + mid_open) / (STRENGTH[1] + c_parent[self.mid])
-            opening = self._opening(0, self.context, p_mid[self.up])
-            if not sweep:
-                leaf.seat(opening)
-            leaf.gibbs(opening, moves)
             if sweep >= burn_in:
-                for total, x in zip(got, (leaf.tables, p_mid, p_root), strict=True):
+                now = leaf.tables, mid.tables, c_mid - DISCOUNT[1] * mid.tables, root.tables, root.n - DISCOUNT[2] * root.tables
+                for total, x in zip(got, now, strict=True):
                     total += x / (sweeps - burn_in)
-        self.mid_tables, self.root_tables = mid.tables, root.tables
+            if sweep < sweeps - 1:
+                mid_open = self._opening(1, self.mid, self._root(root, base, c_root)[self.mid_word])
+                p_mid = (c_mid - DISCOUNT[1] * mid.tables + mid_open) / (STRENGTH[1] + c_parent[self.mid])
+                opening = self._opening(0, self.context, p_mid[self.up])
+                if not sweep:
+                    leaf.seat(opening)
+                leaf.gibbs(opening, moves)
         return got
 
     def _customers(self):
