@@ -49,26 +49,29 @@ def _features(text: str | None) -> bytes:
 
 
 class LinearModel:
-    """L2-regularised logistic regression on selected binary features and some dense inputs."""
+    """L2-regularised logistic regression on selected binary features and some dense inputs.
 
-    def __init__(self, sets: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept: int = KEPT, steps: int = 300):
+    ``sets`` holds, for each text, indexes into ``names``, the features' hashes.
+    """
+
+    def __init__(self, sets: list[np.ndarray], names: np.ndarray, dense: np.ndarray, y: np.ndarray, kept: int = KEPT, steps: int = 80):
         self.bias, self.weight, self.dense_weight = 0.0, {}, np.zeros(dense.shape[1])
         n, pos = len(y), int(y.sum())
         if not 0 < pos < n:
             self.bias = 12.0 if pos and pos == n else -12.0
             return
-        names, seen = np.unique(np.concatenate(sets), return_counts=True)
-        inside = np.zeros(len(names))
-        for s, positive in zip(sets, y, strict=True):
-            if positive:
-                inside[np.searchsorted(names, s)] += 1
+        flat, row = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(s) for s in sets])
+        seen = np.bincount(flat, minlength=len(names))
+        inside = np.bincount(flat[y[row] > 0], minlength=len(names))
         rate = seen / n
         z = (inside / pos - (seen - inside) / (n - pos)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / pos + 1 / (n - pos)))
         z[(seen < 4) | (np.abs(z) < 3)] = 0
         best = np.argsort(-np.abs(z), kind="stable")[:kept]
-        best = np.sort(best[z[best] != 0])
-        found = [np.flatnonzero(np.isin(names[best], s, assume_unique=True)) for s in sets]
-        row, col = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+        best = best[z[best] != 0]
+        slot = np.full(len(names), -1)
+        slot[best] = np.arange(len(best))
+        col = slot[flat]
+        row, col = row[col >= 0], col[col >= 0]
         w, dw, b = np.zeros(len(best)), np.zeros(dense.shape[1]), float(np.log(pos / (n - pos)))
         gw, gd, gb = np.full(len(best), 1e-8), np.full(len(dw), 1e-8), 1e-8
         for _ in range(steps):  # AdaGrad on the whole sample
@@ -92,19 +95,19 @@ class Chain:
 
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS):
         n = len(sets)
-        if n:  # features of under 4 texts are never kept
-            names, seen = np.unique(np.concatenate(sets), return_counts=True)
-            names = names[seen >= 4]
-            sets = [s[np.isin(s, names, assume_unique=True)] for s in sets]
+        names, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
+        names = names[seen >= 4]  # rarer features are never kept
+        lists = [s[np.isin(s, names, assume_unique=True)] for s in sets]
+        sets = [np.searchsorted(names, s) for s in lists]
+        lists = [s.tolist() for s in lists]
         fold, self.models, made = np.arange(n) % folds, [], np.zeros((n, 0))
-        lists = [s.tolist() for s in sets]
         for c in range(labels.shape[1]):
             y, out = labels[:, c].astype(float), np.zeros(n)
             for f in range(folds):
                 fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                model = LinearModel([sets[i] for i in fit], made[fit], y[fit])
+                model = LinearModel([sets[i] for i in fit], names, made[fit], y[fit])
                 out[rest] = [model.logit(lists[i], made[i]) for i in rest]
-            self.models.append(LinearModel(sets, made, y))
+            self.models.append(LinearModel(sets, names, made, y))
             made = np.column_stack([made, out])
         self.out_of_fold = made
         self.threshold = self._threshold(made[:, -1], labels[:, -1]) if n else 31.0
