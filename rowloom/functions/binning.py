@@ -28,3 +28,10 @@ def qcut_labels(x: Column, edges: list[float]) -> Column:
     """Labels that leave 0 for NaN and infinities and 1 for values outside: bins count from 2."""
     odd = invalid(x) | (F.abs(x) == F.lit(float("inf")))
     return F.when(odd, F.lit(0)).otherwise(cut(x, edges) + 1)
+
+
+def cut_strings(x: Column, edges: list[str]) -> Column:
+    """The same cut over text in byte order; NULL and the empty string are in bin 0."""
+    n = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < x))
+    inside = (x != "") & (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
+    return F.when(~F.coalesce(inside, F.lit(False)), F.lit(0)).otherwise(F.greatest(F.lit(1), n))

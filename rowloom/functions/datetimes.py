@@ -10,18 +10,18 @@ _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?"
 _DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
 
 
-def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("long")
+def _part(text: Column, start: int, length: int) -> Column:
+    return F.substring(text, start, length).try_cast("long")
 
 
 def time_nanos(text: Column) -> Column:
     """``H:MM[:SS[.fraction]]`` to nanoseconds since midnight; 0 if it can't be read or is out of range."""
-    pattern = f"^{_TIME}$"
-    h, m = _int(text, pattern, 1), _int(text, pattern, 2)
-    s = F.coalesce(_int(text, pattern, 3), F.lit(0).cast("long"))
-    fraction = F.rpad(F.regexp_extract(text, pattern, 4), 9, "0").try_cast("long")
-    ok = (h < 24) & (m < 60) & (s < 60)
-    return F.coalesce(F.when(ok, ((h * 60 + m) * 60 + s) * 1_000_000_000 + F.coalesce(fraction, F.lit(0))), F.lit(0).cast("long"))
+    hours = F.substring_index(text, ":", 1)
+    rest = F.substring(text, F.length(hours) + 2, F.lit(15))  # MM:SS.fraction
+    h, m = hours.try_cast("long"), _part(rest, 1, 2)
+    s, fraction = F.coalesce(_part(rest, 4, 2), F.lit(0).cast("long")), F.rpad(F.substring(rest, 7, 9), 9, "0").try_cast("long")
+    made = ((h * 60 + m) * 60 + s) * 1_000_000_000 + F.coalesce(fraction, F.lit(0))
+    return F.coalesce(F.when(text.rlike(f"^{_TIME}$") & (h < 24) & (m < 60) & (s < 60), made), F.lit(0).cast("long"))
 
 
 def date_nanos(text: Column) -> Column:
@@ -29,19 +29,18 @@ def date_nanos(text: Column) -> Column:
 
     Days up to 31 are taken in any month and run over into the next one.
     """
-    pattern = f"^{_DATE}$"
-    y, m, d = (_int(text, pattern, g) for g in (1, 2, 3))
-    ok = y.between(1970, 2099) & m.between(1, 12) & d.between(1, 31)
+    digits = F.replace(text, F.lit("-"), F.lit(""))
+    y, m, d = _part(digits, 1, 4), _part(digits, 5, 2), _part(digits, 7, 2)
+    ok = text.rlike(f"^{_DATE}$") & y.between(1970, 2099) & m.between(1, 12) & d.between(1, 31)
     first = F.make_date(F.when(ok, y).cast("int"), F.when(ok, m).cast("int"), F.lit(1))
-    days = F.datediff(first, F.lit("1970-01-01").cast("date")) + d - 1
-    return F.coalesce(F.when(ok, days.cast("long") * NANOS_A_DAY), F.lit(0).cast("long"))
+    return F.coalesce((F.unix_date(first) + d - 1).cast("long") * NANOS_A_DAY, F.lit(0).cast("long"))
 
 
 def datetime_nanos(text: Column) -> Column:
     """A date, then ``T`` or a space, then a time; a bad time keeps the date."""
-    pattern = r"^(\d{4}-?\d{2}-?\d{2})(?:[T ](.*))?$"
-    date = date_nanos(F.regexp_extract(text, pattern, 1))
-    return F.when(date == 0, F.lit(0).cast("long")).otherwise(date + time_nanos(F.regexp_extract(text, pattern, 2)))
+    day = F.regexp_extract(text, r"^(\d{4}-?\d{2}-?\d{2})(?:[T ].*)?$", 1)
+    date = date_nanos(day)
+    return F.when(date == 0, F.lit(0).cast("long")).otherwise(date + time_nanos(F.substring(text, F.length(day) + 2, F.lit(40))))
 
 
 #: strptime directives and the Spark patterns that read the same (fixed values).

@@ -70,6 +70,11 @@ def less_equal(x: Column, y: Column) -> Column:
     return (x <= y) & ~F.isnan(x) & ~F.isnan(y)
 
 
+def not_equal(x: Column, y: Column) -> Column:
+    """True where either side is NaN."""
+    return ~equal(x, y)
+
+
 def truncate(x: Column) -> Column:
     return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
 

@@ -56,3 +56,23 @@ def semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
+
+
+def is_member_categorical(left: DataFrame, codes: DataFrame, categories: DataFrame, code: str) -> DataFrame:
+    """Membership through dictionaries: ``codes`` (code, label) are the left side's categories, matched once
+    against ``categories`` (label, position) and lifted to the rows."""
+    matched = codes.join(categories.groupBy("label").agg(F.min("position").alias("position")), "label", "left")
+    lifted = left.join(matched.select(F.col("code").alias(code), "position"), code, "left")
+    return lifted.withColumn("found", F.col("position").isNotNull())
+
+
+def set_items(df: DataFrame, position: str, value: str, items: DataFrame, name: str = "value") -> DataFrame:
+    """``df`` with the values of ``items`` (position, new) put in at their positions; the last one given wins."""
+    last = items.groupBy(F.col(position).alias("__at")).agg(F.max_by(F.struct("new"), "order").alias("__new"))
+    joined = df.join(last, F.col(position) == F.col("__at"), "left")
+    return joined.withColumn(name, F.when(F.col("__at").isNotNull(), F.col("__new.new")).otherwise(F.col(value))).drop("__at", "__new")
+
+
+def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """Any function of a group's rows, as pandas; the group must fit one task."""
+    return df.groupBy(*keys).applyInPandas(function, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import binning, datetimes, scalar
 from rowloom.functions.nulls import invalid
+from rowloom.operators import joins
 from rowloom.plans.group_queries import GAPS, _gaps
 from rowloom.plans.registry import table
 from rowloom.sources import io
@@ -68,13 +69,15 @@ def elementwise_unary(spark, sf):
 
 @query(f"""
 SELECT event_id, v IS NULL AS isnan, v IS NOT NULL AS isnotnan, v IS NULL OR v = 0 AS isnanorzero, v IS NOT NULL AND v <= 50 AS le, v IS NOT NULL AND v < 50 AS lt,
-       v IS NOT NULL AND v = value AS eq FROM {GAPS}
+       v IS NOT NULL AND v = value AS eq,
+       v IS NULL OR v <> value AS ne, v IS NOT NULL AND v > 50 AS gt, v IS NOT NULL AND v >= 50 AS ge, v IS NOT NULL AS finite FROM {GAPS}
 """)
 def compare_with_nan(spark, sf):
     v, fifty = F.coalesce(F.col("v"), F.lit(float("nan"))), F.lit(50.0)
     return _gaps(spark, sf).select(
         "event_id", invalid(v).alias("isnan"), (~invalid(v)).alias("isnotnan"), (invalid(v) | (v == 0)).alias("isnanorzero"),
-        scalar.less_equal(v, fifty).alias("le"), scalar.less(v, fifty).alias("lt"), scalar.equal(v, F.col("value")).alias("eq"))
+        scalar.less_equal(v, fifty).alias("le"), scalar.less(v, fifty).alias("lt"), scalar.equal(v, F.col("value")).alias("eq"), scalar.not_equal(v, F.col("value")).alias("ne"),
+        scalar.less(fifty, v).alias("gt"), scalar.less_equal(fifty, v).alias("ge"), scalar.is_finite(v).alias("finite"))
 
 
 @query("""
@@ -113,6 +116,68 @@ def boolean_sum(spark, sf):
     return _gaps(spark, sf).agg(F.count_if(F.col("value") > 50).alias("trues"), F.count_if(invalid(F.col("v"))).alias("invalids"))
 
 
+@query("""
+SELECT count(*) FILTER (event_id % 1001 = 5) AS nans, count(*) FILTER (event_id % 101 = 3 AND event_id % 1001 <> 5) AS infs,
+       count(*) FILTER (event_id % 103 = 4 AND event_id % 101 <> 3 AND event_id % 1001 <> 5) AS minus_infs FROM events
+""")
+def nan_inf_count(spark, sf):
+    i, inf = F.col("event_id"), float("inf")
+    x = F.when(i % 1001 == 5, float("nan")).when(i % 101 == 3, inf).when(i % 103 == 4, -inf).otherwise(F.col("value"))
+    e = table(spark, sf, "events").select(x.alias("x"))
+    return e.agg(F.count_if(F.isnan("x")).alias("nans"), F.count_if(F.col("x") == inf).alias("infs"), F.count_if(F.col("x") == -inf).alias("minus_infs"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 9 = 4 AND p_partkey <= 1500 THEN -p_partkey::DOUBLE ELSE p_retailprice END AS price FROM part
+""")
+def set_item_by_index(spark, sf):
+    p = table(spark, sf, "part")
+    items = p.filter("p_partkey % 9 = 4 AND p_partkey <= 1500").select("p_partkey", (-F.col("p_partkey")).cast("double").alias("new"), F.lit(0).alias("order"))
+    return joins.set_items(p, "p_partkey", "p_retailprice", items, "price").select("p_partkey", "price")
+
+
+@query("SELECT user_id, max(value) - min(value) AS spread, count(*) AS n FROM events GROUP BY 1")
+def group_apply(spark, sf):
+    def spread(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "spread": [rows.value.max() - rows.value.min()], "n": [len(rows)]})
+
+    return joins.apply_groups(table(spark, sf, "events").select("user_id", "value"), ["user_id"], spread, "user_id long, spread double, n long")
+
+
+@query("""
+WITH c AS (SELECT n_name AS label, min(n_nationkey) AS position FROM nation WHERE n_regionkey IN (1, 3) GROUP BY 1)
+SELECT s_suppkey, position, position IS NOT NULL AS found FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN c ON label = n_name
+""")
+def is_member_categorical(spark, sf):
+    n = table(spark, sf, "nation")
+    codes = n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    hay = n.filter("n_regionkey IN (1, 3)").select(F.col("n_name").alias("label"), F.col("n_nationkey").alias("position"))
+    return joins.is_member_categorical(table(spark, sf, "supplier"), codes, hay, "s_nationkey").select("s_suppkey", "position", "found")
+
+
+@query("""
+SELECT o.o_orderkey, (SELECT max(p_partkey) FROM part WHERE p_size = o.o_orderkey % 50 AND p_retailprice = (
+         SELECT max(p_retailprice) FROM part WHERE p_size = o.o_orderkey % 50 AND p_retailprice <= o.o_totalprice / 100)) AS match
+FROM orders o WHERE o_orderkey % 5 = 0
+""")
+def merge_binned_sorted(spark, sf):
+    o = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(
+        "o_orderkey", (F.col("o_orderkey") % 50).cast("int").alias("bin"), (F.col("o_totalprice") / 100).alias("v"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("bin"), F.col("p_retailprice").alias("v"))
+    return joins.asof(o, p, ["bin"], "v", "v", "o_orderkey", "p_partkey").select("o_orderkey", "match")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_mktsegment < 'BUILDING' OR c_mktsegment > 'HOUSEHOLD' THEN 0
+       ELSE greatest(1, (CASE WHEN 'BUILDING' < c_mktsegment THEN 1 ELSE 0 END) + (CASE WHEN 'FURNITURE' < c_mktsegment THEN 1 ELSE 0 END) + (CASE WHEN 'HOUSEHOLD' < c_mktsegment THEN 1 ELSE 0 END))
+       END::INTEGER AS bin FROM customer
+""")
+def cut_strings(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", binning.cut_strings(F.col("c_mktsegment"), ["BUILDING", "FURNITURE", "HOUSEHOLD"]).alias("bin"))
+
+
 @query("SELECT event_id, value > 50 AS hit, row_number() OVER (ORDER BY (value > 50) DESC, event_id) - 1 AS place FROM events")
 def boolean_to_positions(spark, sf):
     from rowloom.operators.ordered import with_position
@@ -275,6 +340,19 @@ def stream_running_counts(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("""
+WITH e AS (SELECT *, (event_id - min(event_id) OVER (PARTITION BY event_type)) / 100.0 AS d FROM events)
+SELECT event_type AS key, event_id AS row, round(exp(-0.2 * d) * sum(value * exp(0.2 * d)) OVER (PARTITION BY event_type ORDER BY event_id), 5) AS ema FROM e
+""")
+def stream_running_ema(spark, sf):
+    """The decaying average with its state kept across micro-batches; the clock is the event id."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    events = events.select("event_type", "event_id", (F.col("event_id") / 100.0).alias("t"), "value")
+    path = _shared(spark, "stream")
+    running.drain(running.running_ema(events, "event_type", "t", "event_id", "value", 0.2), path, path + "-state")
+    return spark.read.parquet(path).withColumn("ema", F.round("ema", 5))
+
+
 @query("""
 SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 """)
