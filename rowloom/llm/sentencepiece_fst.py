@@ -22,6 +22,7 @@ pass through ``encode`` untouched.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows that are encoded at once.
 _ROWS = 256
-#: Words whose paths a worker remembers; the table is emptied when full.
-REMEMBERED = 300_000
+#: Words whose paths a worker remembers, twice: the older half goes when the newer is full.
+REMEMBERED = 250_000
 _NORMAL, _USER, _UNUSED, _BYTE, _UNKNOWN = 1, 4, 5, 6, 2
 _UNIGRAM, _BPE = 1, 2
 INFINITY = float("inf")
@@ -66,27 +67,32 @@ class _Remembered(dict):
     """Words and the ids of their paths; finds the path of a word when it is first asked for."""
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        got = self.older.get(word)
+        if got is None:
+            got = self.find(word)
+        if len(self) >= REMEMBERED:  # words that nobody asks for until the next time go
+            self.older = dict(self)
             self.clear()
-        self[word] = got = self.find(word)
+        self[word] = got
         return got
 
 
 class Transducer:
     def __init__(self, model: dict):
         self.model, self.pieces = model, model["pieces"]
-        usable = [i for i, p in enumerate(self.pieces) if p[2] in (_NORMAL, _USER)]
-        self.id_of = {self.pieces[i][0]: i for i in usable}
-        self.score = {self.pieces[i][0]: self.pieces[i][1] for i in usable}
+        written = [i for i, p in enumerate(self.pieces) if p[2] in (_NORMAL, _USER)]
+        self.id_of = {self.pieces[i][0]: i for i in written}
+        self.score = {self.pieces[i][0]: self.pieces[i][1] for i in written}
         self.byte_id = {int(p[0][1:-1], 16): i for i, p in enumerate(self.pieces) if p[2] == _BYTE}
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == _UNKNOWN)
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.text_of = [self._bytes_of(*p) for p in self.pieces]
         #: Pairs of neighbouring characters in pieces: between any others no path has to be carried on.
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.remembered = _Remembered(self._word)
         if model["bpe"]:
             ranked = sorted({s for s in self.score.values()}, reverse=True)
@@ -97,11 +103,12 @@ class Transducer:
             for p in list(self.id_of):
                 if len(p) > 1:
                     self._derive(p)
-            self.usable = {p for p in self.id_of if len(p) == 1 or p in self.left}
+            usable = {p for p in self.id_of if len(p) == 1 or p in self.left}
         else:
-            self.usable = set(self.id_of)
-        #: States of the piece transducer between a first and a last character.
-        self.states = {p[:i] for p in self.usable for i in range(1, len(p) + 1)}
+            usable = set(self.id_of)
+        #: States of the piece transducer by the characters read, with the id that may be written there, or -1.
+        self.states = {p[:i]: -1 for p in usable for i in range(1, len(p))} | {p: self.id_of[p] for p in usable}
+        self.borders: dict[int, bool] = {}
 
     @staticmethod
     def _bytes_of(piece: str, score: float, kind: int) -> bytes:
@@ -139,55 +146,73 @@ class Transducer:
 
     def path(self, word: str) -> list[int]:
         """Ids along the shortest path of the transducer composed with ``word`` (normalised)."""
-        pieces = self._allowed_path(word) if self.model["bpe"] else self._lightest_path(word)
-        ids = self.id_of
-        return [x for p in pieces for x in ([ids[p]] if p in ids else self._spelled(p))]
-
-    def _arcs(self, word: str, k: int) -> list[str]:
-        """Pieces that the transducer can read from position k, shortest first; else the character."""
-        found, states, usable = [], self.states, self.usable
+        arcs = self._allowed_path(word) if self.model["bpe"] else self._lightest_path(word)
+        if min(arcs, default=0) >= 0:
+            return arcs
+        out, i = [], 0
+        for t in arcs:
+            out += [t] if t >= 0 else self._spelled(word[i])
+            i += len(self.pieces[t][0]) if t >= 0 else 1
+        return out
+
+    def _arcs(self, word: str, k: int) -> list[int]:
+        """Ids of the pieces that can be read from position k, shortest first; else -1, which spells the character."""
+        found, get = [], self.states.get
         for i in range(k + 1, len(word) + 1):
-            piece = word[k:i]
-            if piece not in states:
+            t = get(word[k:i])
+            if t is None:
                 break
-            if piece in usable:
-                found.append(piece)
-        return found or [word[k]]
+            if t >= 0:
+                found.append(t)
+        return found or [-1]
+
+    def _allowed(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a, remembered; spelled characters may stand anywhere."""
+        if a < 0 or b < 0:
+            return True
+        if len(self.borders) >= REMEMBERED:
+            self.borders.clear()
+        self.borders[a << 32 | b] = got = self._border(self.pieces[a][0], self.pieces[b][0]) == 0
+        return got
 
-    def _allowed_path(self, word: str) -> list[str]:
+    def _allowed_path(self, word: str) -> list[int]:
         """The path of weight zero, depth first, longer pieces first.
 
         A prefix has one allowed path only, so a position that leads nowhere is never met again.
         """
-        n, border, trail, k = len(word), self._border, [], 0
-        arcs, before = self._arcs(word, 0) if n else [], None
+        whole = self.states.get(word, -1)
+        if whole >= 0:
+            return [whole]
+        n, known, allowed, pieces, trail, k = len(word), self.borders.get, self._allowed, self.pieces, [], 0
+        arcs, before = self._arcs(word, 0) if n else [], -1
         while k < n:
             while arcs:
-                piece = arcs.pop()
-                if before is None or before not in self.usable or piece not in self.usable or border(before, piece) == 0:
+                t = arcs.pop()
+                ok = known(before << 32 | t)
+                if ok or ok is None and allowed(before, t):
                     break
             else:
                 k, arcs, before = trail.pop()[1:]
                 continue
-            trail.append((piece, k, arcs, before))
-            k, before = k + len(piece), piece
+            trail.append((t, k, arcs, before))
+            k, before = k + (len(pieces[t][0]) if t >= 0 else 1), t
             if k < n:
                 arcs = self._arcs(word, k)
         return [t[0] for t in trail]
 
-    def _lightest_path(self, word: str) -> list[str]:
-        n, score = len(word), self.score
-        cost, came = [0.0] + [INFINITY] * n, [""] * (n + 1)
+    def _lightest_path(self, word: str) -> list[int]:
+        n = len(word)
+        cost, came = [0.0] + [INFINITY] * n, [(0, -1)] * (n + 1)
         for k in range(n):
-            for piece in self._arcs(word, k):
-                i = k + len(piece)
-                total = cost[k] - score[piece] if piece in score else cost[k] + 1e6  # no piece has the character
+            for t in self._arcs(word, k):
+                i = k + (len(self.pieces[t][0]) if t >= 0 else 1)
+                total = cost[k] - self.pieces[t][1] if t >= 0 else cost[k] + 1e6  # no piece has the character
                 if total < cost[i]:
-                    cost[i], came[i] = total, piece
+                    cost[i], came[i] = total, (k, t)
         out = []
         while n:
-            out.append(came[n])
-            n -= len(came[n])
+            n, t = came[n]
+            out.append(t)
         return out[::-1]
 
     def _spelled(self, char: str) -> list[int]:
@@ -198,13 +223,13 @@ class Transducer:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
         if cuts:
             return b"".join([self.remembered[word[i:j]] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-        return np.array(self.path(word), np.int32).tobytes()
+        return array("i", self.path(word)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         whole = (MARK if self.model["prefix"] else "") + text.replace(" ", MARK)
-        words = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", whole) if self.by_word else [whole]
+        words = self.words.findall(whole) if self.by_word else [whole]
         known = self.remembered
         return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
 
