@@ -14,10 +14,11 @@ from rowloom.llm.common import tidy
 def rewrite(df: DataFrame, marks: DataFrame, change, id_col: str, text_col: str, log2_slots: int = 26, hashes: int = 2) -> DataFrame:
     """``df`` with changed texts and the column ``removed_chars``.
 
-    ``marks`` has one row (``__id``, ``__hash``, ``marks`` an array) for each document to change;
+    A column of ``df`` with that name is replaced.  ``marks`` has one row (``__id``, ``__hash``, ``marks`` an array) for each document to change;
     ``change(text, marks)`` gives its new text.  Only rows that pass a Bloom filter of the marks are
     shuffled.
     """
+    df = df.drop("removed_chars")
     key = F.xxhash64("__id", "__hash")
     bitmaps = presence_filter(marks.select(key.alias("__key")), "__key", log2_slots, hashes)
     keyed = df.select("*", *row_key(id_col, text_col)).withColumn("__key", key)

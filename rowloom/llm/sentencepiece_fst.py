@@ -255,9 +255,10 @@ def _transducer(model: dict) -> Transducer:
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, check: str | None = None) -> DataFrame:
     """``df`` with the piece ids of the text; ``check`` names a column that tells whether decoding gives it back.
 
-    The driver reads the model file and sends its values along (under 1 MB for 32,000 pieces).
+    Columns of ``df`` that have these names are replaced.  The driver reads the model file and sends its values along (under 1 MB for 32,000 pieces).
     """
     shared = df.sparkSession.sparkContext.broadcast(read_model(model))
+    df = df.drop(ids_col, *([check] if check else []))
     names, at = [*df.columns, ids_col, *([check] if check else [])], df.columns.index(text_col)
 
     def run(batches):
@@ -281,6 +282,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``df`` with the text that the ids spell; null ids give null."""
     shared = df.sparkSession.sparkContext.broadcast(read_model(model))
+    df = df.drop(text_col)
     names, at = [*df.columns, text_col], df.columns.index(ids_col)
 
     def run(batches):

@@ -12,7 +12,7 @@ models keep the features whose presence differs most significantly between the t
 
 The models are fitted in the driver on at most ``SAMPLE`` labelled texts, the ones whose ids hash
 lowest; scoring runs over all whole texts.  The threshold is the one with the best F1 of the out-of-fold
-predictions.
+predictions among those of at least ``PRECISION``.
 
 Defined cases: null and wordless texts have no features and get the probability of the intercept; null
 labels are left out; a category without both classes gets a constant probability and rejects nothing;
@@ -34,6 +34,8 @@ from rowloom.llm.common import table, tidy
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE, FOLDS, KEPT = 4000, 5, 4096
+#: Least out-of-fold precision of the threshold; if none has it, nothing is rejected.
+PRECISION = 0.8
 #: Distinct words whose features a worker remembers; the table is emptied when full.
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -120,7 +122,10 @@ class Chain:
         hits, best = np.cumsum(y[order]), logit[order]
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
         f1[:-1][best[:-1] == best[1:]] = 0  # equal scores can't be parted
+        f1[hits < PRECISION * np.arange(1, len(y) + 1)] = 0
         k = int(np.argmax(f1))
+        if not f1[k]:
+            return 31.0
         return float((best[k] + best[k + 1]) / 2 if k + 1 < len(best) else best[k])
 
     def logits(self, present) -> list[float]:
@@ -172,10 +177,13 @@ class _Scorer:
         return self.chain.logits(sorted(present))
 
 
-def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """``df`` with a probability for each category (``p_...``) and ``rejected``."""
+def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``df`` with a probability for each category (``p_...``) and ``rejected``; ``prefix`` goes before these
+    names, and columns of ``df`` that have them are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(chain)  # KEPT weights for each category
-    added, at = [*(f"p_{c}" for c in CATEGORIES), "rejected"], df.columns.index(text_col)
+    added = [f"{prefix}{c}" for c in (*(f"p_{c}" for c in CATEGORIES), "rejected")]
+    df = df.drop(*added)
+    at = df.columns.index(text_col)
     names = [*df.columns, *added]
 
     def run(batches):
@@ -186,12 +194,12 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             odds = [pa.array(1 / (1 + np.exp(-made[:, c]))) for c in range(len(CATEGORIES))]
             yield pa.RecordBatch.from_arrays([*b.columns, *odds, pa.array(made[:, -1] >= limit)], names=names)
 
-    fields = [StructField(c, BooleanType() if c == "rejected" else DoubleType()) for c in added]
+    fields = [StructField(c, BooleanType() if c == added[-1] else DoubleType()) for c in added]
     return df.mapInArrow(tidy(run), StructType([*df.schema.fields, *fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels)).filter("NOT rejected").select(*[f"`{c}`" for c in docs.columns])
+    return score(docs, fit(docs, labels), prefix="__").filter("NOT __rejected").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
