@@ -55,6 +55,7 @@ def tidy(run):
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
-        ctypes.CDLL(None).malloc_trim(0)
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
 
     return wrapped
