@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bloom import flag_repeated, repeated_filter
-from rowloom.llm.common import SPACE
+from rowloom.llm.common import SPACE, cut_lineage, table
 
 #: 2 ** 26 slots: the filter has 8 MB at most.
 LOG2_SLOTS, HASHES = 26, 2
@@ -50,8 +50,9 @@ def mark_duplicates(
     """
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     alone, maybe = _split(slim, "__text", log2_slots, hashes)
-    rows = maybe.groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("__n"))
-    groups = maybe.groupBy("__sha").agg(F.min("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    # Both sides of the join are tables, so adaptive execution can split the rows of a hot digest.
+    rows = cut_lineage(maybe.groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("__n")))
+    groups = cut_lineage(rows.groupBy("__sha").agg(F.min("__id").alias("__keep"), F.sum("__n").alias("__size")))
     joined = rows.join(groups, "__sha").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
     out = lambda d, keep, size, kept: d.select(
         F.col("__id").alias(id_col), keep.alias("keep_id"), size.cast("long").alias("group_size"),
@@ -74,8 +75,6 @@ def drop_duplicates(
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from rowloom.llm.common import table
-
     return mark_duplicates(table(spark, sf_dir, "documents"))
 
 
