@@ -128,8 +128,9 @@ def common_lines(df: DataFrame, min_chars: int, id_col: str, text_col: str) -> D
     firsts = cut_lineage(firsts.filter("n > 1").select("line", F.col("first.doc").alias("holder"), F.col("first.at").alias("first_at")))
     bitmaps = presence_filter(firsts, "line", 26, 2)
     maybe = flag_repeated(rows, "line", bitmaps, 26, 2, "__maybe").filter("__maybe").drop("__maybe")
-    met = maybe.join(firsts, "line").filter(doc > F.col("holder")).dropDuplicates(["__id", "__hash", "line"])
-    pairs = met.groupBy("__id", "__hash", "holder").agg(F.collect_list(F.struct("size", "at", "first_at")).alias("shared"))
+    met = maybe.join(firsts, "line").filter(doc > F.col("holder"))
+    # A set, since repeated rows of a document bring the same lines again.
+    pairs = met.groupBy("__id", "__hash", "holder").agg(F.collect_set(F.struct("size", "at", "first_at")).alias("shared"))
     kind = df.schema[id_col].dataType.simpleString()
     gone = pairs.select("__id", "__hash", "shared").mapInArrow(tidy(_align(min_chars)), f"__id {kind}, __hash long, gone array<int>")
     lines = gone.select("__id", "__hash", F.explode("gone").alias("x"))
