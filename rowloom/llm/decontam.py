@@ -24,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.llm.bloom import without_rows
 from rowloom.llm.common import cut_lineage, lower_ascii, table
 
 #: ASCII characters that are no letters or digits; all other characters make up words.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows up to which a benchmark-sized table is broadcast (a window row has under 1 KB).
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -63,7 +64,7 @@ def find_matches(docs: DataFrame, items: DataFrame, n: int = 10, anchors: int =
     found = tokens.join(_small(vocabulary, n_windows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # A window that holds a term of no document can't occur anywhere.
     spread = windows.select("wid", "win").distinct().select("wid", "win", F.posexplode("win").alias("off", "term"))
-    known = spread.join(found, "term", "left")
+    known = spread.join(_small(found, n_windows), "term", "left")
     complete = Window.partitionBy("wid")
     ranked = (
         known.withColumn("__missing", F.sum(F.col("df").isNull().cast("int")).over(complete))
@@ -125,9 +126,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
-    matches = find_matches(docs, items, n, keep_proximity=False).select("doc", "key").distinct()
-    hit = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("key"))
-    return docs.join(matches, hit, "left_anti")
+    matches = find_matches(docs, items, n, keep_proximity=False)
+    gone = cut_lineage(matches.select(F.col("doc").alias("__id"), F.col("key").alias("__hash")).distinct())
+    return without_rows(docs, gone, "doc_id", "text")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
