@@ -26,7 +26,7 @@ from rowloom.llm.bloom import flag_repeated, presence_filter, row_key
 from rowloom.llm.common import cut_lineage, table, tidy
 from rowloom.llm.rewrite import rewrite
 
-REACH, MIN_WORDS = 4, 15
+REACH, MIN_WORDS = 3, 15
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
