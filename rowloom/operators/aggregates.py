@@ -57,8 +57,8 @@ def mode(x: Column) -> Column:
 def quantile_midpoint(x: Column, q: float) -> Column:
     """The mean of the two values around (n - 1) q, not an interpolation between them.
 
-    Both values are exact order statistics taken by Spark's sorted-count percentile, whose buffer holds
-    distinct values rather than rows.
+    It gathers the values of a group in one list, so it is for groups of bounded size inside other
+    aggregates; :func:`quantile_midpoint_distributed` has no such bound.
     """
     n = F.count(clean(x))
     at = (n - 1) * F.lit(q)
