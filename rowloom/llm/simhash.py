@@ -227,13 +227,13 @@ def _similar(df, nodes, found, k, least, id_col, text_col) -> DataFrame:
     return joined.filter(met >= least * (F.size("x") + F.size("y") - met)).select("a", "b")
 
 
-def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, bits: int = 256, radius: int = 48,
-                         tables: int = 40, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, bits: int = 256, radius: int = 52,
+                         tables: int = 52, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, without all but the smallest id of each near-duplicate component.
 
     Two texts of Jaccard similarity 0.8 differ in 15 % of the fingerprint bits on average, so 256 bits
-    with radius 48 and 40 sampled keys of 16 bits offer such a pair with probability 0.9 and one of
-    similarity 0.9 with 0.999; every offered link is then checked exactly.
+    with radius 52 and 52 sampled keys of 16 bits offer such a pair with probability 0.97 and one of
+    similarity 0.9 with 0.9999; every offered link is then checked exactly.
     """
     rows = near_components(df, k, bits, radius, sampled_keys(bits, tables, width), min_similarity, id_col, text_col)
     mine = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
