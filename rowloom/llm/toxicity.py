@@ -86,6 +86,11 @@ class LinearModel:
         self.bias, self.dense_weight = float(b), dw
         self.weight = dict(zip(names[best].tolist(), w.tolist(), strict=True))
 
+    def predict(self, sets: list[np.ndarray], names: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Log-odds of texts given as indexes into ``names``."""
+        by_index = np.array([self.weight.get(f, 0.0) for f in names.tolist()])
+        return np.clip(self.bias + np.array([by_index[s].sum() for s in sets]) + dense @ self.dense_weight, -30, 30)
+
     def logit(self, present, dense) -> float:
         weight = self.weight
         got = self.bias + sum(weight[f] for f in present if f in weight) + float(np.dot(self.dense_weight, dense))
@@ -99,16 +104,14 @@ class Chain:
         n = len(sets)
         names, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
         names = names[seen >= 4]  # rarer features are never kept
-        lists = [s[np.isin(s, names, assume_unique=True)] for s in sets]
-        sets = [np.searchsorted(names, s) for s in lists]
-        lists = [s.tolist() for s in lists]
+        sets = [np.searchsorted(names, s[np.isin(s, names, assume_unique=True)]).astype(np.int32) for s in sets]
         fold, self.models, made = np.arange(n) % folds, [], np.zeros((n, 0))
         for c in range(labels.shape[1]):
             y, out = labels[:, c].astype(float), np.zeros(n)
             for f in range(folds):
                 fit, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 model = LinearModel([sets[i] for i in fit], names, made[fit], y[fit])
-                out[rest] = [model.logit(lists[i], made[i]) for i in rest]
+                out[rest] = model.predict([sets[i] for i in rest], names, made[rest])
             self.models.append(LinearModel(sets, names, made, y))
             made = np.column_stack([made, out])
         self.out_of_fold = made
