@@ -75,14 +75,3 @@ def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, log
     )
     columns = [f"`{c}`" for c in df.columns]
     return flagged.filter(~F.col("__maybe")).select(*columns).unionByName(maybe.select(*columns))
-
-
-def with_rows(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, log2_slots: int = 26, hashes: int = 2) -> DataFrame:
-    """The rows of ``df`` whose (id, text hash) is in ``wanted``, joined with the columns of ``wanted``."""
-    both = lambda d: d.withColumn("__key", F.xxhash64("__id", "__hash"))
-    bitmaps = presence_filter(both(wanted).select("__key"), "__key", log2_slots, hashes)
-    keyed = both(df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text")))
-    maybe = flag_repeated(keyed, "__key", bitmaps, log2_slots, hashes, "__maybe").filter("__maybe").drop("__maybe", "__key")
-    there = wanted.withColumnsRenamed({"__id": "__gid", "__hash": "__ghash"})
-    met = maybe.join(there, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__hash") == F.col("__ghash")))
-    return met.drop("__gid", "__ghash")

@@ -1,12 +1,12 @@
 """Near-duplicate detection by SimHash, compared in bit-sliced blocks.
 
+``drop_near_duplicates`` goes by exact similarity instead, see :mod:`rowloom.llm.set_join`.
+
 Every text gets a fingerprint: bit b is 1 if over half of its shingle hashes have bit b set.  Equal
 fingerprints are merged first, so a group of copies is one row from there on.  Rows then meet in
-buckets under several keys made of fingerprint bits:
-
-* ``pigeonhole`` keys are exact: the bits are cut into ``radius + 2`` blocks and every choice of two
-  blocks is a key; fingerprints at most ``radius`` bits apart agree on two blocks at least.
-* ``sampled`` keys take fixed random bits and serve wide radii, at a recall that the parameters set.
+buckets under several keys made of fingerprint bits, which are exact: the bits are cut into ``radius + 2``
+blocks and every choice of two blocks is a key; fingerprints at most ``radius`` bits apart agree on two
+blocks at least.
 
 Buckets are compared by :func:`rowloom.llm.bitslice.pairs_within` and give a minimum spanning forest
 of their links, never all pairs.  A bucket of over ``BUCKET`` rows is cut into parts, and each two of
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bitslice import forest, pairs_within
-from rowloom.llm.bloom import row_key, with_rows, without_rows
+from rowloom.llm.bloom import row_key, without_rows
 from rowloom.llm.common import cut_lineage, shuffle_width, table, tidy
 from rowloom.llm.graph import components
+from rowloom.llm.set_join import similar_groups
 
 #: Rows of a bucket that one group compares; larger buckets are cut.
 BUCKET = 8192
@@ -95,11 +96,6 @@ def pigeonhole_keys(bits: int, radius: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in itertools.combinations(blocks, 2)]
 
 
-def sampled_keys(bits: int, tables: int, width: int, seed: int = 7) -> list[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return [rng.choice(bits, width, replace=False) for _ in range(tables)]
-
-
 def _spread(nodes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
     """A row (key, node, fp) for each fingerprint and key."""
 
@@ -188,12 +184,8 @@ def links(nodes: DataFrame, keys: list[np.ndarray], radius: int, bucket: int = B
 
 
 def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3, keys: list[np.ndarray] | None = None,
-                    min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id, __hash, fp, root and first (smallest id of the component) for every row.
-
-    With ``min_similarity`` each link is checked exactly: the Jaccard similarity of the two texts'
-    shingle sets must reach it.
-    """
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__id, __hash, fp, root and first (smallest id of the component) for every row."""
     rows = fingerprints(df, k, bits, id_col, text_col)
     # 64-bit fingerprints are their own numbers; wider ones go by a 64-bit hash.
     number = F.conv(F.hex(F.reverse("fp")), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
@@ -201,8 +193,6 @@ def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3,
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")).alias("first")
     nodes = cut_lineage(rows.groupBy("node", "fp").agg(first))
     found = links(nodes, keys or pigeonhole_keys(bits, radius), radius).select("a", "b").distinct()
-    if min_similarity is not None:
-        found = _similar(df, nodes, cut_lineage(found), k, min_similarity, id_col, text_col)
     roots = components(found)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min("first").alias("best"))
@@ -210,32 +200,15 @@ def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3,
     return rows.join(of, "node")
 
 
-def _similar(df, nodes, found, k, least, id_col, text_col) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.zeros(0, np.uint64)])).view(np.int64) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("first.__id").alias("__id"), F.col("first.__hash").alias("__hash"))
-    texts = with_rows(df, wanted, id_col, text_col).dropDuplicates(["node"])
-    sets = cut_lineage(texts.select("node", "__text").mapInArrow(tidy(run), "node long, set array<long>"))
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    met = F.size(F.array_intersect("x", "y"))
-    joined = found.join(left, "a").join(right, "b")
-    return joined.filter(met >= least * (F.size("x") + F.size("y") - met)).select("a", "b")
-
-
-def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, bits: int = 256, radius: int = 52,
-                         tables: int = 52, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, tables: int | None = None, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
     """The rows of ``df``, without all but the smallest id of each near-duplicate component.
 
-    Two texts of Jaccard similarity 0.8 differ in 15 % of the fingerprint bits on average, so 256 bits
-    with radius 52 and 52 sampled keys of 16 bits offer such a pair with probability 0.97 and one of
-    similarity 0.9 with 0.9999; every offered link is then checked exactly.
+    Texts are linked where the Jaccard similarity of their shingle sets reaches ``min_similarity``: all such pairs and
+    no others, by :mod:`rowloom.llm.set_join`.  Fingerprints play no part, since they count repeats;
+    ``tables`` is still taken from callers of the sampled search and changes nothing.
     """
-    rows = near_components(df, k, bits, radius, sampled_keys(bits, tables, width), min_similarity, id_col, text_col)
+    rows = similar_groups(df, shingle_hashes, k, min_similarity, id_col, text_col)
     mine = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
     gone = cut_lineage(rows.filter(mine != F.col("best")).select("__id", "__hash").distinct())
     return without_rows(df, gone, id_col, text_col)

@@ -137,3 +137,42 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(((r["__id"] or -1, r["best"]["__id"]) for r in simhash.near_components(df).collect()), key=str)
     assert got == [(-1, 4), (-1, None), (4, 4), (4, 4)]
+
+
+def brute_kept(texts, k=5, least=0.8):
+    """Ids that are the smallest of their component, all pairs compared on their shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)})
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            met = len(x & y)
+            if met >= least * (len(x) + len(y) - met) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    return {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+
+
+def test_pairs_in_a_family_of_templates_are_all_checked(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        lines = [[f"t{rng.randrange(10**6)}" for _ in range(10)] for _ in range(60)]
+        for _ in range(60):
+            own = {i: [f"t{rng.randrange(10**6)}" for _ in range(10)] for i in rng.sample(range(60), 7)}
+            first = [w for i, line in enumerate(lines) for w in own.get(i, line)]
+            texts.append(" ".join(first))
+            if rng.random() < 0.4:  # a partner at about 0.8 or a bit more
+                for at in rng.sample(range(len(first)), rng.randrange(10, 16)):
+                    first[at] = "changed"
+                texts.append(" ".join(first))
+    want = brute_kept(texts)
+    assert len(texts) - len(want) > 20 and len(want) > 150
+    assert kept_ids(spark, texts) == want
