@@ -184,3 +184,16 @@ def test_texts_that_differ_outside_a_repeated_line_stay(spark):
     texts = [line * 400 + " ".join(f"b{rng.randrange(10**7)}" for _ in range(300)) for _ in range(4)]
     assert len({simhash.fingerprint(t, 5, 256) for t in texts}) < len(texts)
     assert kept_ids(spark, texts) == brute_kept(texts) == set(range(4))
+
+
+def test_short_and_repetitive_texts_are_all_found(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(60):
+        words = [f"s{i}x{n}" for n in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]  # 4 of 5 shingles
+        words = [f"p{i}x{n}" for n in range(30)]
+        texts += [" ".join(words), " ".join(words + words[:15] * rng.choice([5, 10]) + words[:4])]
+    want = brute_kept(texts)
+    assert len(want) <= len(texts) - 60
+    assert kept_ids(spark, texts) == want
