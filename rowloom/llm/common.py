@@ -33,6 +33,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of written-out steps removed: Spark removes them when the JVM collects their owners."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null becomes the empty string.
 

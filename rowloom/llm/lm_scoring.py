@@ -1,18 +1,22 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
-
-The restaurants' contexts are classes of the previous token: the class goes by its last three bytes, so
-short function words have (nearly) one of their own, and the parent class by its last byte.  The number of
-classes is fixed, so what restaurants have to know of each other (their numbers of tables) is a short
-vector; all else about a word lies in the partition of its hash.
-
-1. Scan tasks count their documents in batches: for each word partition the word hashes, the
-   (context, count) entries of the training documents, and for each entry the documents it occurs in.
-2. The counts are merged by word partition.
-3. Each partition seats its customers by :mod:`rowloom.llm.pitman_yor`, first with a guess for the
-   tables of other partitions, then with their totals, and averages the predictive probabilities.
-4. The batches' entries meet the model of their word partition and give partial sums for each document;
-   a partition with many entries is dealt to several tasks, each with a copy of its model.
-5. The partial sums are added up by document.
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
+
+Every previous token has a restaurant of its own, of the words seen after it in the training documents; the
+start of a text is a token too.  All of them share one parent, the root restaurant of single words, whose
+base is uniform over the known words and one unknown.  The seating is sampled by Gibbs moves
+(:mod:`rowloom.llm.pitman_yor`) and the predictive probabilities are averaged over the last sweeps.
+
+1. Scan tasks count their documents in batches: the pairs (previous token, token), how often the training
+   documents have each, and which documents hold it.  Pairs are dealt to buckets by the previous token, so a
+   restaurant lies in one bucket.  A token with more than a bucket's share of the corpus has its pairs dealt over all buckets.
+2. The counts of all batches are merged by bucket.
+3. Rounds: every bucket sends the tables of its words to the word's root task, which seats the root's customers and
+   sends back the word's part of the root; then the buckets seat their customers anew, from where they sat.  The tables of
+   tokens that are dealt over all buckets are added up on the same way.
+4. After the last round each bucket answers the batches' pairs with their probabilities, and every batch adds them
+   up by document.
+
+Buckets go by the size of the corpus and have random streams of their own, so the scores don't depend on the number of
+shuffle partitions.
 
 Defined cases: a null text counts as empty and has one token, its end; ids may be null (then held out is
 false); rows that repeat an id are scored one by one; a table without training documents gives uniform
@@ -21,33 +25,33 @@ probabilities; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut_lineage, shuffle_width, table, tidy
-from rowloom.llm.pitman_yor import DISCOUNT, STRENGTH, Model
+from rowloom.llm.common import cut_lineage, free_shuffles, shuffle_width, table, tidy
+from rowloom.llm.pitman_yor import DISCOUNT, STRENGTH, Seating, sample_contexts
 
-#: 32 parents of 128 contexts each, and the start of a text.
-PARENTS, WITHIN = 32, 128
-CONTEXTS = PARENTS * WITHIN + 1
 #: Tokens that a scan task counts at once.
-BATCH = 5_000_000
-#: Sweeps, burn-in and moves of each customer group in a sweep.
-SWEEPS, BURN_IN, MOVES = 4, 1, 2
+BATCH = 4_000_000
+#: Bytes of text that make one bucket.
+BUCKET_BYTES = 4_000_000
+#: Rounds of exchange with the root, sweeps of a round, and the sweeps of the last one whose predictions are averaged.
+ROUNDS, SWEEPS, KEPT = 2, 5, 3
 _END = b"\n"  # no word is white space
-PARENT_OF = np.r_[np.repeat(np.arange(PARENTS), WITHIN), PARENTS]
-
-
-def context_of(token: bytes) -> int:
-    """The context class that a token gives to the next one."""
-    return (token[-1] * 7 + 3) % PARENTS * WITHIN + zlib.crc32(token[-3:]) % WITHIN
+_START = np.uint64(xxhash.xxh64_intdigest(b" ", 3))
+_TAG = np.uint64(0xA5A5A5A5A5A5A5A5)
+#: Kinds of rows, in the order in which a task has to see them.
+_DOCUMENT, _PLACES, _MERGED, _STATE, _REPLY, _ASKED, _REQUEST, _SUM, _ANSWER = range(9)
+_NAMES = ["key", "kind", "at", "blob", "num", "row", "__id", "__held"]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -68,6 +72,47 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest unsigned type."""
+    most = int(a.max(initial=0))
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _deal(u: np.ndarray, w: np.ndarray, buckets: int, spread: np.ndarray) -> np.ndarray:
+    """The bucket of each pair."""
+    return (_mix(np.where(np.isin(u, spread), u ^ _mix(w), u)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _root_task(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(key ^ _TAG) % np.uint64(buckets)).astype(np.int64)
+
+
+def _hash(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token, 3)
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    tokens = (text or "").encode().lower().split()
+    tokens.append(_END)
+    return tokens
+
+
+def _rows(id_type, key, kind: int, at=0, blob=None, num=0.0, row=None, ids=None, held=None) -> pa.RecordBatch:
+    """Rows of one kind; single values stand for all rows."""
+    n = len(key)
+    whole = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n), t)
+    return pa.RecordBatch.from_arrays(
+        [whole(key, pa.int64()), whole(kind, pa.int32()), whole(at, pa.int64()), pa.array(blob or [None] * n, pa.binary()), whole(num, pa.float64()),
+         pa.nulls(n, pa.int32()) if row is None else whole(row, pa.int32()), pa.nulls(n, id_type) if ids is None else pa.array(ids, id_type),
+         pa.nulls(n, pa.bool_()) if held is None else pa.array(held, pa.bool_())], names=_NAMES)
+
+
 class _Words(dict):
     """Numbers of tokens in the order in which they come."""
 
@@ -76,71 +121,60 @@ class _Words(dict):
         return n
 
 
-def _count(rows: list, texts: list[np.ndarray], words: _Words, parts: int, batch: int):
-    """One batch: its documents, and for each word partition the entries and where they occur."""
+def _count(texts: list[np.ndarray], learn: np.ndarray, words: _Words, buckets: int, spread: np.ndarray):
+    """One batch: where its pairs occur, and the pairs of each bucket with their training counts."""
     lengths = np.array([len(t) for t in texts])
     token = np.concatenate(texts)
     doc = np.repeat(np.arange(len(texts)), lengths)
-    class_of = np.array([context_of(w) for w in words], np.int64)
-    hashes = np.array([xxhash.xxh64_intdigest(w, 3) for w in words], np.uint64)
-    context = np.r_[0, class_of[token[:-1]]]
-    context[np.cumsum(lengths) - lengths] = CONTEXTS - 1
-    order = np.lexsort((hashes, hashes % np.uint64(parts)))  # by partition, then by hash
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    key = place[token] * CONTEXTS + context
+    known = np.array([*map(_hash, words), int(_START)], np.uint64)
+    order = np.argsort(known, kind="stable")  # numbers go by hash from here on
+    rank = np.empty(len(order), np.int64)
+    rank[order], known = np.arange(len(order)), known[order]
+    token = rank[token]
+    before = np.r_[0, token[:-1]]
+    before[np.cumsum(lengths) - lengths] = rank[-1]
+    key = before * len(known) + token
     by = np.argsort(key, kind="stable")
-    key, doc = key[by], doc[by]
-    learn = ~np.array([r[1] for r in rows])
-    new = np.r_[True, key[1:] != key[:-1]]
-    entry = np.flatnonzero(new)
-    count = np.add.reduceat(learn[doc].astype(np.int64), entry)
-    # An entry's documents, with repeats, as differences: zero for a repeat.
-    step = np.diff(doc, prepend=0)
-    step[entry] = doc[entry]
-    step = step.astype(np.uint16 if len(texts) < 65536 else np.uint32)
+    key = key[by]
+    entry = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    u, w = np.divmod(key[entry], len(known))
+    bucket = _deal(known[u], known[w], buckets, spread)
+    order = np.argsort(_narrow(bucket), kind="stable")  # by bucket, then by the hashes of both
     many = np.diff(np.r_[entry, len(key)])
-    entry_word, entry_context = key[entry] // CONTEXTS, (key[entry] % CONTEXTS).astype(np.uint16)
-    part_of_word = (hashes[order] % np.uint64(parts)).astype(np.int64)
-    word_cut = np.searchsorted(part_of_word, np.arange(parts + 1))
-    entry_cut = np.searchsorted(entry_word, word_cut)
-    token_cut = np.r_[entry, len(key)][entry_cut]
-    for p in range(parts):
-        w, e, t = (slice(c[p], c[p + 1]) for c in (word_cut, entry_cut, token_cut))
-        if e.start == e.stop:
-            continue
-        per_word = np.bincount(entry_word[e] - word_cut[p], minlength=w.stop - w.start).astype(np.uint16)
-        yield p, _pack(hashes[order][w], per_word, entry_context[e], count[e].astype(np.uint32)), _pack(many[e].astype(np.uint32), step[t]), t.stop - t.start
-
-
-def _batches(df: DataFrame, parts: int) -> DataFrame:
-    """Rows of two kinds: documents (part -1) with their ids, and the entries of a word partition."""
-    kind = df.schema["__id"].dataType.simpleString()
+    count = np.add.reduceat(learn[doc[by]].astype(np.int64), entry)[order]
+    u, w, bucket, begin, many = u[order], w[order], bucket[order], entry[order], many[order]
+    first = np.cumsum(many) - many
+    doc = doc[by[np.repeat(begin - first, many) + np.arange(len(key))]]
+    step = np.diff(doc, prepend=0)  # the documents of a pair, with repeats, as differences
+    step[first] = doc[first]
+    yield -1, _pack(_narrow(many), _narrow(step))
+    there = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, z in zip(there, np.r_[there[1:], len(bucket)], strict=True):
+        new = np.flatnonzero(np.r_[True, u[a + 1 : z] != u[a : z - 1]])
+        distinct, which = np.unique(w[a:z], return_inverse=True)
+        yield int(bucket[a]), _pack(known[u[a:z][new]], _narrow(np.diff(np.r_[new, z - a])), known[distinct], _narrow(which), _narrow(count[a:z]))
+
+
+def _scan(df: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
+    """Documents and places with a negative key for each batch, and the batches' pairs with their bucket."""
 
     def run(arrow):
         rows, texts, words, size, number = [], [], _Words(), 0, 0
-        task = TaskContext.get().partitionId()
-        nothing = pa.nulls
+        task, id_type = TaskContext.get().partitionId(), None
 
         def flush():
             nonlocal rows, texts, words, size, number
-            batch = (task << 32) + number
-            made = list(_count(rows, texts, words, parts, batch))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * len(rows), pa.int64()), pa.array([-1] * len(rows), pa.int32()), nothing(len(rows), pa.binary()), nothing(len(rows), pa.binary()),
-                 pa.array([r[2] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.bool_())], names=names)
-            for p, entries, where, tokens in made:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch], pa.int64()), pa.array([p], pa.int32()), pa.array([entries], pa.binary()), pa.array([where], pa.binary()),
-                     pa.array([tokens], pa.int64()), nothing(1, pa.int32()), nothing(1, id_type), nothing(1, pa.bool_())], names=names)
+            batch = -1 - ((task << 32) + number)
+            n = len(rows)
+            yield _rows(id_type, [batch] * n, _DOCUMENT, batch, num=np.array([r[2] for r in rows], float), row=np.arange(n), ids=[r[0] for r in rows], held=[r[1] for r in rows])
+            for bucket, blob in _count(texts, ~np.array([r[1] for r in rows]), words, buckets, spread):
+                yield _rows(id_type, [batch if bucket < 0 else bucket], _PLACES if bucket < 0 else _ASKED, batch, [blob])
             rows, texts, words, size, number = [], [], _Words(), 0, number + 1
 
-        id_type = None
         for b in arrow:
             id_type = b.column("__id").type
             for i, held, text in zip(b.column("__id").to_pylist(), b.column("__held").to_pylist(), b.column("__text").to_pylist(), strict=True):
-                tokens = (text or "").encode().lower().split()
-                tokens.append(_END)
+                tokens = _tokens(text)
                 texts.append(np.array([words[t] for t in tokens], np.int64))
                 rows.append((i, held, len(tokens)))
                 size += len(tokens)
@@ -149,221 +183,299 @@ def _batches(df: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield from flush()
 
-    names = ["batch", "part", "entries", "places", "tokens", "row", "__id", "__held"]
-    return df.mapInArrow(tidy(run), f"batch long, part int, entries binary, places binary, tokens long, row int, __id {kind}, __held boolean")
+    return df.mapInArrow(tidy(run), _schema(df))
 
 
-def _merge(batches):
-    """Counts of a word partition from all batches, as one row, with the sums that all partitions need."""
-    def finish(part, held):
-        hashes, contexts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((contexts, hashes))
-        hashes, contexts, counts = hashes[order], contexts[order], counts[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (contexts[1:] != contexts[:-1])]
-        first = np.flatnonzero(new)
-        return hashes[first], contexts[first], np.add.reduceat(counts, first)
-
-    def emit(part, held):
-        h, c, n = finish(part, held)
-        words, per_word = np.unique(h, return_counts=True)
-        customers = np.bincount(c, weights=n, minlength=CONTEXTS).astype(np.int64)
-        types = np.bincount(c, minlength=CONTEXTS).astype(np.int64)
-        parents = np.unique(np.searchsorted(words, h) * (PARENTS + 1) + PARENT_OF[c]) % (PARENTS + 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([_pack(words, per_word.astype(np.uint16), c.astype(np.uint16), n.astype(np.uint32))], pa.binary()),
-             pa.array([len(words)], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in (customers, types, np.bincount(parents, minlength=PARENTS + 1)))],
-            names=["part", "counts", "words", "customers", "types", "parents"])
+def _schema(df: DataFrame) -> str:
+    return f"key long, kind int, at long, blob binary, num double, row int, __id {df.schema['__id'].dataType.simpleString()}, __held boolean"
 
-    part, held, size = None, [], 0
-    for b in batches:
-        for p, blob in zip(b.column("part").to_pylist(), b.column("entries").to_pylist(), strict=True):
-            if p != part:
-                if held:
-                    yield emit(part, held)
-                part, held, size = p, [], 0
-            words, per_word, context, count = _unpack(blob)
-            on = count > 0
-            if not on.any():
-                continue
-            held.append((np.repeat(words, per_word)[on], context[on], count[on].astype(np.int64)))
-            size += int(on.sum())
-            if size > 4_000_000 and len(held) > 1:  # keep memory near the merged size
-                held = [finish(part, held)]
-                size = 0
-    if held:
-        yield emit(part, held)
-
-
-_MERGED = "part int, counts binary, words long, customers array<long>, types array<long>, parents array<long>"
-
-
-def _sums(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Element-wise sums of array columns of fixed length.
-
-    About the square root of the rows reach the driver, each with the sum of as many.
-    """
-    lengths = {"customers": CONTEXTS, "types": CONTEXTS, "tables": CONTEXTS, "parents": PARENTS + 1, "root": 1}
+
+def _by_key(each: Callable[..., Iterator[pa.RecordBatch]]):
+    """``each(id_type, key, rows)`` for the adjacent rows of every key; a row is (kind, at, blob, num)."""
 
     def run(batches):
-        total = [np.zeros(lengths[c]) for c in columns]
+        key, rows, id_type = None, [], None
         for b in batches:
-            for t, column in zip(total, b.columns, strict=True):
-                t += np.array(column.to_pylist(), float).sum(axis=0) if b.num_rows else 0
-        yield pa.RecordBatch.from_arrays([pa.array([t.tolist()], pa.list_(pa.float64())) for t in total], names=list(columns))
+            id_type = b.column("__id").type
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "at", "blob", "num")), strict=True):
+                if k != key and rows:
+                    yield from each(id_type, key, rows)
+                    rows = []
+                key = k
+                rows.append(row)
+        if rows:
+            yield from each(id_type, key, rows)
+
+    return run
 
-    groups = max(1, round(shuffle_width(df.sparkSession) ** 0.5))
-    few = df.select(*columns).coalesce(groups).mapInArrow(tidy(run), ", ".join(f"{c} array<double>" for c in columns)).collect()
-    return [np.sum([np.zeros(lengths[c]), *(np.array(r[c]) for r in few)], axis=0) for c in columns]
 
+def _dealt(df: DataFrame, parts: int, each, schema: str) -> DataFrame:
+    return df.repartition(parts, "key").sortWithinPartitions("key", "kind", "at", "row").mapInArrow(tidy(each), schema)
 
-def _entries(blob: bytes):
-    words, per_word, context, n = _unpack(blob)
-    return words, np.repeat(np.arange(len(words)), per_word), context.astype(np.int64), n.astype(np.float64)
 
+def _merge(buckets: int, spread: np.ndarray):
+    """The pairs of a bucket from all batches, and for each batch where its pairs are among them."""
+
+    def each(id_type, key, rows):
+        us, ws, ns, sizes = [], [], [], []
+        for _, _, blob, _ in rows:
+            contexts, per, words, which, count = _unpack(blob)
+            us.append(np.repeat(contexts, per.astype(np.int64)))
+            ws.append(words[which])
+            ns.append(count.astype(np.int64))
+            sizes.append(len(which))
+        u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate(ns)
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order], n[order]
+        new = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        u, w, n = u[first], w[first], np.add.reduceat(n, first)
+        context = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        words, which = np.unique(w, return_inverse=True)
+        to = np.argsort(_root_task(words, buckets), kind="stable")  # words by root task, then by hash
+        back = np.empty(len(to), np.int64)
+        back[to] = np.arange(len(to))
+        blob = _pack(u[context], _narrow(np.diff(np.r_[context, len(u)])), words[to], _narrow(back[which]), _narrow(n))
+        yield _rows(id_type, [key], _MERGED, 0, [blob], float(n.sum()))
+        end = np.cumsum(sizes)
+        for (_, batch, _, _), a, z in zip(rows, end - sizes, end, strict=True):
+            yield _rows(id_type, [key], _ASKED, batch, [_pack(_narrow(np.diff(place[a:z], prepend=0)))])
 
-def _seat(totals: dict, sweeps: int, burn_in: int, moves: int, keep: bool):
-    """Seat every partition; give its tables, and with ``keep`` the averaged model too."""
     def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool):
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            done = pa.compute.not_equal(whole.column("key"), whole.column("key")[-1])
+            if not last:
+                held.extend(whole.filter(pa.compute.invert(done)).to_batches())
+                whole = whole.filter(done)
+            yield from _by_key(each)(whole.to_batches())
+
         for b in batches:
-            for part, blob in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                words, word, context, n = _entries(blob)
-                model = Model(word, context, n, PARENT_OF, totals["t_context"], totals["t_parent"], totals["t_root"], totals["vocabulary"], part)
-                tables, mid_tables, mid_left, root_tables, root_left = model.sample(sweeps, burn_in, moves)
-                made = np.bincount(context, weights=tables, minlength=CONTEXTS)
-                parents = np.bincount(model.mid, weights=mid_tables, minlength=PARENTS + 1)
-                per_word = np.bincount(word, minlength=len(words)).astype(np.uint16)
-                mids = np.bincount(model.mid_word, minlength=len(words)).astype(np.uint8)
-                count = np.add.reduceat(n, np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
-                held = _pack(words, per_word, context.astype(np.uint16), (n - DISCOUNT[0] * tables).astype(np.float32), mids, model.mid.astype(np.uint8),
-                             mid_left.astype(np.float32), root_left.astype(np.float32), count) if keep else None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([held], pa.binary()), pa.array([made], pa.list_(pa.float64())),
-                     pa.array([parents], pa.list_(pa.float64())), pa.array([[float(root_tables.sum())]], pa.list_(pa.float64()))],
-                    names=["part", "model", "tables", "parents", "root"])
+            passing = pa.compute.less(b.column("key"), 0)  # documents and places
+            if pa.compute.any(passing).as_py():
+                yield b.filter(passing)
+            rest = b.filter(pa.compute.invert(passing))
+            if rest.num_rows:
+                held.append(rest)
+                if held[0].column("key")[0].as_py() != rest.column("key")[-1].as_py():
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
 
     return run
 
 
-_SEATED = "part int, model binary, tables array<double>, parents array<double>, root array<double>"
-
+class _Bucket:
+    """The pairs of a bucket with what comes in about them."""
+
+    def __init__(self, key: int, blob: bytes, buckets: int, spread: np.ndarray):
+        self.key, self.buckets = key, buckets
+        self.contexts, per, self.words, which, n = _unpack(blob)
+        self.context, self.word, self.n = np.repeat(np.arange(len(self.contexts)), per.astype(np.int64)), which.astype(np.int64), n.astype(np.float64)
+        self.customers = np.bincount(self.context, weights=self.n, minlength=len(self.contexts))
+        self.elsewhere = np.zeros(len(self.contexts))
+        self.root = _root_task(self.words, buckets)
+        parted = np.flatnonzero(np.isin(self.contexts, spread))
+        task = _root_task(self.contexts[parted], buckets)
+        order = np.argsort(task, kind="stable")
+        self.parted, self.parted_task = parted[order], task[order]
+
+    def requests(self, id_type, tables: np.ndarray):
+        """Tables and customers of the words, and of contexts that other buckets have too, to their root tasks."""
+        t = np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.int64)
+        n = np.bincount(self.word, weights=self.n, minlength=len(self.words)).astype(np.int64)
+        ct = np.bincount(self.context, weights=tables, minlength=len(self.contexts)).astype(np.int64)[self.parted]
+        cn = self.customers.astype(np.int64)[self.parted]
+        for q in np.unique(np.r_[self.root, self.parted_task]).tolist():
+            a, z = np.searchsorted(self.root, (q, q + 1))
+            x, y = np.searchsorted(self.parted_task, (q, q + 1))
+            blob = _pack(self.words[a:z], _narrow(t[a:z]), _narrow(n[a:z]), self.contexts[self.parted][x:y], _narrow(ct[x:y]), _narrow(cn[x:y]))
+            yield _rows(id_type, [q], _REQUEST, self.key, [blob])
+
+    def take(self, replies: list[bytes], totals: dict, own_tables: np.ndarray) -> None:
+        """The root's probability and the training count of each word, from replies in the order of root tasks."""
+        left, count, tables, customers = (np.concatenate(x) for x in zip(*map(_unpack, replies), strict=True))
+        self.parent = (left + totals["base"]) / totals["root"]
+        self.count = count.astype(np.float64)
+        mine = np.bincount(self.context, weights=own_tables, minlength=len(self.contexts))[self.parted]
+        self.elsewhere[self.parted] = tables - mine
+        self.customers[self.parted] = customers
+
+
+def _ask(buckets: int, spread: np.ndarray):
+    """The first requests: one table for each pair."""
+
+    def each(id_type, key, rows):
+        b = _Bucket(key, rows[0][2], buckets, spread)
+        yield from b.requests(id_type, np.minimum(b.n, 1))
+
+    return _by_key(each)
+
+
+def _roots(totals: dict | None, number: int):
+    """Seat the root's customers for the words of a root task and answer all buckets.
+
+    In the first round, where the totals aren't known yet, every word has one table.
+    """
 
-def _score(totals: dict):
-    """log10 probabilities of the entries that batches hold, added up by document."""
-    c, t = totals["c_context"], totals["t_context"]
-    back = (STRENGTH[0] + DISCOUNT[0] * t) / (STRENGTH[0] + c)
-    c_mid, c_root = STRENGTH[1] + np.bincount(PARENT_OF, weights=t, minlength=PARENTS + 1), STRENGTH[2] + totals["t_parent"].sum()
-    back_mid = (STRENGTH[1] + DISCOUNT[1] * totals["t_parent"]) / c_mid
-    unknown = (STRENGTH[2] + DISCOUNT[2] * totals["t_root"]) / c_root / (totals["vocabulary"] + 1)
+    def each(id_type, key, rows):
+        got = [_unpack(blob) for _, _, blob, _ in rows]
+        words, word = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        tables, count = (np.bincount(word, weights=np.concatenate([g[i] for g in got]), minlength=len(words)) for i in (1, 2))
+        contexts, context = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
+        c_tables, c_count = (np.bincount(context, weights=np.concatenate([g[i] for g in got]), minlength=len(contexts)) for i in (4, 5))
+        seated = np.minimum(tables, 1)
+        if totals is not None and len(words):
+            seats, total = Seating(tables, DISCOUNT[1], np.random.default_rng([number, key, 1])), np.zeros(len(words))
+            for s in range(SWEEPS):
+                seats.sweep(np.full(len(words), totals["base"]))
+                total += seats.tables if s >= SWEEPS - KEPT else 0
+            seated = total / KEPT
+        left = (tables - DISCOUNT[1] * seated).astype(np.float32)
+        yield _rows(id_type, [key], _SUM, num=float(seated.sum()))
+        a = x = 0
+        for (_, bucket, _, _), g in zip(rows, got, strict=True):
+            i, j = word[a : a + len(g[0])], context[x : x + len(g[3])]
+            a, x = a + len(i), x + len(j)
+            yield _rows(id_type, [bucket], _REPLY, key, [_pack(left[i], _narrow(count[i].astype(np.int64)), c_tables[j], c_count[j])])
+
+    return _by_key(each)
+
+
+def _seat(totals: dict, number: int, last: bool, buckets: int, spread: np.ndarray):
+    """Seat a bucket's customers; then ask the root again, or answer the batches."""
+
+    def each(id_type, key, rows):
+        of = lambda kind: [r for r in rows if r[0] == kind]
+        b = _Bucket(key, of(_MERGED)[0][2], buckets, spread)
+        seats = Seating(b.n, DISCOUNT[0], np.random.default_rng([number, key, 0]))
+        for _, _, blob, _ in of(_STATE):
+            seats.resume(*_unpack(blob))
+        b.take([r[2] for r in of(_REPLY)], totals, seats.tables)
+        p = sample_contexts(seats, b.context, b.n, b.parent[b.word], b.elsewhere, b.customers, SWEEPS, KEPT if last else 0)
+        if not last:
+            yield _rows(id_type, [key], _STATE, blob=[_pack(*map(_narrow, seats.state()))], num=float(seats.tables.sum()))
+            yield from b.requests(id_type, seats.tables)
+            return
+        p, count = p.astype(np.float32), b.count[b.word].astype(np.int64)
+        for _, batch, blob, _ in of(_ASKED):
+            at = np.cumsum(_unpack(blob)[0].astype(np.int64))
+            yield _rows(id_type, [batch], _ANSWER, key, [_pack(p[at], _narrow(count[at]))])
+
+    return _by_key(each)
+
+
+def _finish(totals: dict, id_col: str):
+    """The sums of each document of a batch."""
     base_total = totals["tokens"] + 0.5 * (totals["vocabulary"] + 1)
 
-    def find(sorted_keys, keys):
-        at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
-        return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), bool)
-
-    def load(blob):
-        if blob is None:
-            return np.zeros(0, np.uint64), *(np.zeros(0),) * 6
-        words, per_word, context, left, mids, mid, mid_left, root_left, count = _unpack(blob)
-        n = np.arange(len(words))
-        p_root = root_left.astype(float) / c_root + unknown
-        p_mid = mid_left.astype(float) / c_mid[mid] + back_mid[mid] * np.repeat(p_root, mids)
-        return words, np.repeat(n, per_word) * CONTEXTS + context, left.astype(float), np.repeat(n, mids) * (PARENTS + 1) + mid, p_mid, p_root, count
+    def emit(docs, places, answers):
+        many, step = (x.astype(np.int64) for x in _unpack(places))
+        p, count = (np.concatenate(x).astype(np.float64) for x in zip(*map(_unpack, answers), strict=True))
+        begin, step = np.cumsum(many) - many, np.cumsum(step)
+        doc = step - np.repeat(np.r_[0, step[begin[1:] - 1]], many)
+        add = lambda x: np.bincount(doc, weights=np.repeat(x, many))
+        tokens = docs.column("num").to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [docs.column("__id"), docs.column("__held"), pa.array(tokens), pa.array(np.rint(add((count > 0).astype(float))).astype(np.int64)),
+             pa.array(np.full(len(tokens), int(totals["tokens"]))), pa.array(add(np.log10((count + 0.5) / base_total))), pa.array(add(np.log10(p)))],
+            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches):
-        part, model = None, None
+        docs, places, answers, key = [], None, [], None
         for b in batches:
-            for r in b.to_pylist():
-                if r["part"] != part:
-                    part, model = r["part"], None
-                if r["batch"] is None:
-                    model = load(r["model"])
-                    continue
-                if model is None:
-                    model = load(None)
-                words, leaf_key, left, mid_key, p_mid, p_root, count = model[:7]
-                hashes, per_word, context, _ = _unpack(r["entries"])
-                many, step = _unpack(r["places"])
-                at, known = find(words, hashes)
-                at, known, context = np.repeat(at, per_word), np.repeat(known, per_word), context.astype(np.int64)
-                root = np.where(known, p_root[at] if len(words) else 0.0, unknown)
-                i, there = find(mid_key, at * (PARENTS + 1) + PARENT_OF[context])
-                there &= known
-                mid = np.where(there, p_mid[i] if len(mid_key) else 0.0, back_mid[PARENT_OF[context]] * root)
-                i, there = find(leaf_key, at * CONTEXTS + context)
-                there &= known
-                p = np.where(there, left[i] if len(leaf_key) else 0.0, 0.0) / (STRENGTH[0] + c[context]) + back[context] * mid
-                seen = np.where(known, count[at] if len(words) else 0.0, 0.0)
-                begin = np.cumsum(many.astype(np.int64)) - many
-                step = np.cumsum(step.astype(np.int64))
-                shift = np.repeat(np.r_[0, step[begin[1:] - 1]], many)
-                doc = step - shift
-                sums = [np.bincount(doc, weights=np.repeat(x, many)) for x in (np.log10(p), np.log10((seen + 0.5) / base_total), (seen > 0).astype(float))]
-                rows = np.flatnonzero(np.bincount(doc))
-                packed = _pack(rows.astype(np.int32), *(x[rows] for x in sums))
-                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]]), pa.array([packed], pa.binary())], names=["batch", "sums"])
+            kinds, keys = b.column("kind").to_numpy(), b.column("key").to_numpy()
+            cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (keys[1:] != keys[:-1])]) if len(kinds) else []
+            for a, z in zip(cut, np.r_[cut[1:], len(kinds)] if len(cut) else [], strict=True):
+                if keys[a] != key and docs:
+                    yield emit(pa.Table.from_batches(docs).combine_chunks().to_batches()[0], places, answers)
+                    docs, answers = [], []
+                key, part = keys[a], b.slice(a, z - a)
+                if kinds[a] == _DOCUMENT:
+                    docs.append(part)
+                elif kinds[a] == _PLACES:
+                    places = part.column("blob")[0].as_py()
+                else:
+                    answers += part.column("blob").to_pylist()
+        if docs:
+            yield emit(pa.Table.from_batches(docs).combine_chunks().to_batches()[0], places, answers)
 
     return run
 
 
-def _add(batches):
-    """The sums of each document of a batch, from those of all word partitions."""
-    batch, total = None, []
+def _frequent(slim: DataFrame, buckets: int) -> np.ndarray:
+    """Hashes of the tokens with more than a bucket's share of all tokens, at most ``buckets`` of them."""
+    if buckets == 1:
+        return np.zeros(0, np.uint64)
 
-    def emit():
-        n = len(total[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, total)], names=["batch", "row", "s", "b", "k"])
+    def run(batches):
+        seen, n = Counter(), 0
 
-    for b in batches:
-        for key, blob in zip(b.column("batch").to_pylist(), b.column("sums").to_pylist(), strict=True):
-            if key != batch:
-                if batch is not None:
-                    yield emit()
-                batch, total = key, [np.zeros(0)] * 3
-            rows, *sums = _unpack(blob)
-            if len(rows) and rows[-1] >= len(total[0]):
-                total = [np.r_[t, np.zeros(rows[-1] + 1 - len(t))] for t in total]
-            for t, x in zip(total, sums, strict=True):
-                t[rows] += x
-    if batch is not None:
-        yield emit()
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
+        def flush():
+            got = [(t, c) for t, c in seen.items() if 2 * buckets * c >= n] if n else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([_hash(t) for t, _ in got] + [0], np.uint64).view(np.int64)), pa.array([c for _, c in got] + [n], pa.int64()),
+                 pa.array([False] * len(got) + [True])], names=["token", "n", "all"])
+
+        for b in batches:
+            for text in b.column("__text").to_pylist():
+                tokens = _tokens(text)
+                seen.update(tokens)
+                n += len(tokens)
+                if n >= BATCH:
+                    yield from flush()
+                    seen, n = Counter(), 0
+        yield from flush()
+
+    counts = cut_lineage(slim.select("__text").mapInArrow(tidy(run), "token long, n long, all boolean").groupBy("token", "all").agg(F.sum("n").alias("n")))
+    whole = counts.filter("all").first()
+    found = counts.filter(~F.col("all") & (F.col("n") * buckets >= (whole["n"] if whole else 0))).select("token").collect()
+    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = df.sparkSession
-    parts = shuffle_width(spark)
+    parts = shuffle_width(df.sparkSession)
     held = F.coalesce(held_out if held_out is not None else F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     slim = df.select(F.col(id_col).alias("__id"), held.alias("__held"), F.col(text_col).alias("__text"))
-    batches = cut_lineage(_batches(slim, parts))
-    docs, entries = batches.filter("part < 0"), batches.filter("part >= 0")
-    merged = cut_lineage(
-        entries.select("part", "entries").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_merge), _MERGED))
-    sizes = merged.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
-    customers, types, parents = _sums(merged, "customers", "types", "parents")
-    totals = {"vocabulary": int(sizes[0]), "tokens": float(customers.sum()), "c_context": customers, "t_context": types, "t_parent": parents, "t_root": float(sizes[0])}
-    first = merged.select("part", "counts").mapInArrow(tidy(_seat(totals, 2, 1, 1, False)), _SEATED)
-    totals |= _tables(first, totals)
-    seated = cut_lineage(merged.select("part", "counts").mapInArrow(tidy(_seat(totals, SWEEPS, BURN_IN, MOVES, True)), _SEATED))
-    totals |= _tables(seated, totals)
-    # Partitions with many entries are dealt to several tasks.
-    load = entries.groupBy("part").agg(F.sum("tokens").alias("n"))
-    mean = F.avg("n").over(Window.partitionBy(F.lit(0)))
-    dealt = F.broadcast(load.select("part", F.ceil(F.col("n") / (2 * mean)).alias("deals")))  # a row for each word partition
-    asked = entries.join(dealt, "part").select("part", F.pmod(F.xxhash64("batch"), "deals").alias("deal"), "batch", "entries", "places", F.lit(None).cast("binary").alias("model"))
-    models = seated.join(dealt, "part").select(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("batch"),
-        F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("places"), "model")
-    met = models.unionByName(asked).repartition(parts, "part", "deal").sortWithinPartitions("part", "deal", F.col("batch").asc_nulls_first())
-    partial = met.mapInArrow(tidy(_score(totals)), "batch long, sums binary").repartition(parts, "batch").sortWithinPartitions("batch")
-    sums = partial.mapInArrow(tidy(_add), "batch long, row int, s double, b double, k double")
-    return docs.select("batch", "row", "__id", "__held", F.col("tokens").alias("n_tokens")).join(sums, ["batch", "row"]).select(
-        F.col("__id").alias(id_col), F.col("__held").alias("held_out"), "n_tokens", F.round("k").cast("long").alias("n_known"),
-        F.lit(int(totals["tokens"])).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("s").alias("score"))
-
-
-def _tables(seated: DataFrame, totals: dict) -> dict:
-    t_context, t_parent, t_root = _sums(seated, "tables", "parents", "root")
-    return {"t_context": t_context, "t_parent": t_parent, "t_root": float(t_root[0])}
+    buckets = 1 + int(slim.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // bucket_bytes
+    spread = _frequent(slim, buckets)
+    schema = _schema(slim)
+    counted = cut_lineage(_dealt(_scan(slim, buckets, spread), parts, _merge(buckets, spread), schema))
+    free_shuffles(df.sparkSession)
+    of = lambda rows, kind: rows.filter(F.col("kind") == kind)
+    merged = of(counted, _MERGED)
+    tokens = float(merged.agg(F.sum("num")).first()[0] or 0)
+    asked, state, totals = merged.mapInArrow(tidy(_ask(buckets, spread)), schema), None, None
+    vocabulary, customers = 0, float(merged.mapInArrow(tidy(_types), "n double").agg(F.sum("n")).first()[0] or 0)
+    for number in range(ROUNDS):
+        replies = cut_lineage(_dealt(asked, parts, _roots(totals, number), schema))
+        root_tables = float(of(replies, _SUM).agg(F.sum("num")).first()[0] or 0)
+        vocabulary = vocabulary or int(root_tables)
+        totals = {"tokens": tokens, "vocabulary": vocabulary, "root": STRENGTH[1] + customers, "base": (STRENGTH[1] + DISCOUNT[1] * root_tables) / (vocabulary + 1)}
+        given = merged.unionByName(of(replies, _REPLY))
+        given = given if state is None else given.unionByName(state)
+        if number == ROUNDS - 1:
+            break
+        seated = cut_lineage(_dealt(given, parts, _seat(totals, number, False, buckets, spread), schema))
+        free_shuffles(df.sparkSession)
+        state, asked = of(seated, _STATE), of(seated, _REQUEST)
+        customers = float(state.agg(F.sum("num")).first()[0] or 0)
+    seated = _dealt(given.unionByName(of(counted, _ASKED)), parts, _seat(totals, ROUNDS, True, buckets, spread), schema)
+    answered = seated.unionByName(counted.filter("key < 0"))
+    out = f"`{id_col}` {slim.schema['__id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _dealt(answered, parts, _finish(totals, id_col), out)
+
+
+def _types(batches):
+    """Pairs of the training documents."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([float(np.count_nonzero(_unpack(x)[4])) for x in b.column("blob").to_pylist()], pa.float64())], names=["n"])
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -1,169 +1,119 @@
-"""Seating of a hierarchical Pitman-Yor model for the words of one partition, on numpy arrays.
-
-Restaurants form three levels: a context (the class of the previous token), its parent (a coarser
-class) and the root, whose base is uniform over the known words and one unknown.  A word's customers
-in a context are its occurrences there; each of its tables sends one customer to the parent, and so on.
-All customers of one word lie in one partition; restaurants meet other words only through their number
-of tables, which comes in from outside.
+"""Chinese-restaurant seating of a Pitman-Yor model, sampled by Gibbs moves, on numpy arrays.
+
+A restaurant is a context.  Its entries are the words seen after it; the customers of an entry are the
+word's occurrences there, and they sit at tables that all serve this word.  Every table sends one customer
+to the parent restaurant.  Given the parent's probabilities, the weight with which a customer opens a
+table of its entry is ``opening``, and a table of s customers draws with weight s - discount.
+
+Every sweep gets all customers of all entries up, in ``STEPS`` steps: an entry of n customers takes min(n, STEPS)
+steps of n / min(n, STEPS) customers each, so small entries move one at a time and large ones in equal
+shares.  The customers of a step sit down by the weights that hold when they have left: tables opened
+are a binomial draw and the others an exact multinomial draw, so a step costs the number of tables and not
+the number of customers.  At the start all customers of an entry sit at one table.  The tests hold the number
+of tables against its exact distribution and against full one-by-one Gibbs sampling of large entries.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Discount and strength of the levels: context, parent, root.
-DISCOUNT, STRENGTH = (0.80, 0.70, 0.60), (4.0, 4.0, 4.0)
-#: Customers that are seated one by one at the start; the others follow in proportion.
-ONE_BY_ONE = 8
-
-
-def _pick(start: np.ndarray, share: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Slots drawn in proportion to ``weight`` within each entry's slots."""
-    upto = np.cumsum(weight)
-    base = np.where(start > 0, upto[start - 1], 0.0)
-    slot = np.searchsorted(upto, base + share * total, side="right")
-    return np.minimum(np.maximum(slot, start), len(weight) - 1)
+#: Discount and strength of the two levels: contexts, and the root that they share.
+DISCOUNT, STRENGTH = (0.75, 0.65), (3.0, 4.0)
+#: Steps of a sweep.
+STEPS = 16
 
 
 class Seating:
-    """Table sizes of the entries (restaurant, word) of a level."""
-
-    def __init__(self, n: np.ndarray, level: int, rng: np.random.Generator, spare: int):
-        self.n, self.d, self.rng = n, DISCOUNT[level], rng
-        self.tables = np.minimum(n, 1)
-        self.entry = np.flatnonzero(n > 1)  # one customer has one table for ever
-        self.spare = spare
-
-    def seat(self, opening: np.ndarray) -> None:
-        """Seat all customers anew; ``opening`` is the weight of opening a table for each entry."""
-        rng, d = self.rng, self.d
-        n, a = self.n[self.entry].astype(np.float64), opening[self.entry]
-        self.tables = np.minimum(self.n, 1).astype(np.float64)
-        if not len(n):
-            return
-        # Slots: what the first customers can open, the expected later openings, and spare ones.
-        few = np.minimum(n, ONE_BY_ONE)
-        later = np.minimum(rng.poisson(a * np.log((n + a) / (few + a))), n - few)
-        cap = (few + later + self.spare).astype(np.int64)
-        self.start = np.r_[0, np.cumsum(cap)[:-1]].astype(np.int64)
-        self.size = np.zeros(int(cap.sum()))
-        self.size[self.start] = 1
-        self.used = np.ones(len(n), np.int64)
-        t = np.ones(len(n))
-        for s in range(2, ONE_BY_ONE + 1):
-            on = np.flatnonzero(n >= s)
-            if not len(on):
+    """Table sizes of the entries of one level; ``tables`` holds their number for each entry."""
+
+    def __init__(self, n: np.ndarray, discount: float, rng: np.random.Generator):
+        self.d, self.rng = discount, rng
+        self.tables = np.minimum(n, 1).astype(np.float64)
+        several = np.flatnonzero(n > 1)  # one customer has one table for ever
+        self.entry = several[np.argsort(-n[several], kind="stable")]  # large ones first, so active entries are a prefix
+        self.n = n[self.entry].astype(np.int64)
+        self.owner, self.size = np.arange(len(self.entry)), self.n.copy()
+
+    def _draw(self, entries: np.ndarray, weight: np.ndarray, start: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """A table for each of ``entries`` (with repeats) in proportion to ``weight``."""
+        upto = np.cumsum(weight)
+        base = np.where(start > 0, upto[start - 1], 0.0)
+        end = np.r_[start[1:], len(weight)]
+        slot = np.searchsorted(upto, base[entries] + self.rng.random(len(entries)) * total[entries], side="right")
+        return np.clip(slot, start[entries], end[entries] - 1)
+
+    def _arrive(self, owner: np.ndarray, size: np.ndarray, many: np.ndarray, opening: np.ndarray):
+        """Seat ``many[e]`` customers of each of the first len(many) entries; ``owner`` and ``size`` are their tables."""
+        rng, e = self.rng, len(many)
+        open_ = size > 0
+        owner, size = owner[open_], size[open_]
+        weight = size - self.d
+        total = np.bincount(owner, weights=weight, minlength=e)
+        new = rng.binomial(many, np.clip(opening / np.maximum(total + opening, 1e-300), 0.0, 1.0))
+        new = np.where(total > 0, new, many)
+        old = many - new
+        start = np.searchsorted(owner, np.arange(e))
+        # A multinomial draw of ``old``: Poisson counts of a somewhat smaller mean, filled up one by one.
+        mean = np.maximum(old - 4 * np.sqrt(old), 0.0)
+        drawn = np.zeros(len(size), np.int64)
+        if mean.any():
+            drawn = rng.poisson((mean / np.maximum(total, 1e-300))[owner] * weight)
+            over = np.bincount(owner, weights=drawn, minlength=e) > old
+            drawn[over[owner]] = 0
+        rest = old - np.bincount(owner, weights=drawn, minlength=e).astype(np.int64)
+        who = np.repeat(np.arange(e), rest)
+        if len(who):
+            drawn += np.bincount(self._draw(who, weight, start, total), minlength=len(size))
+        size = size + drawn
+        opened = np.repeat(np.arange(e), new)
+        at = np.searchsorted(owner, opened, side="right")
+        return np.insert(owner, at, opened), np.insert(size, at, 1)
+
+    def _count(self) -> None:
+        self.tables[self.entry] = np.bincount(self.owner, minlength=len(self.entry))
+
+    def sweep(self, opening: np.ndarray) -> None:
+        """Every customer gets up once, on average, and sits down by the conditional."""
+        a, rng = opening[self.entry], self.rng
+        for s in range(STEPS):
+            active = int(np.searchsorted(-self.n, -s, side="left"))  # entries of more than s customers
+            if not active:
                 break
-            new = rng.random(len(on)) * (s - 1 - d * t[on] + a[on]) < a[on]
-            old = on[~new]
-            weight = np.where(self.size > 0, self.size - d, 0.0)
-            slot = _pick(self.start[old], rng.random(len(old)), weight, s - 1 - d * t[old])
-            self._sit(on[new], t)
-            self.size[slot] += 1
-        rest = np.flatnonzero(n > ONE_BY_ONE)
-        if len(rest):
-            owner = np.repeat(np.arange(len(n)), cap)
-            big = (n > ONE_BY_ONE)[owner] & (self.size > 0)
-            grown = np.floor(self.size * ((n - later) / ONE_BY_ONE)[owner])
-            self.size[big] = grown[big]
-            for_later = np.repeat(rest, later[rest].astype(np.int64))
-            nth = np.arange(len(for_later)) - np.repeat(np.cumsum(later[rest]) - later[rest], later[rest].astype(np.int64)).astype(np.int64)
-            self.size[self.start[for_later] + self.used[for_later] + nth] = 1
-            self.used[rest] += later[rest].astype(np.int64)
-            t[rest] += later[rest]
-            held = np.add.reduceat(self.size, self.start)
-            self.size[self.start[rest]] += (n - held)[rest]
-        self.t = t
-        self.tables[self.entry] = t
-
-    def _sit(self, who: np.ndarray, t: np.ndarray) -> None:
-        self.size[self.start[who] + self.used[who]] = 1
-        self.used[who] += 1
-        t[who] += 1
-
-    def gibbs(self, opening: np.ndarray, moves: int) -> None:
-        """In each entry, ``moves`` times, one customer gets up and sits down again by the conditional."""
-        if not len(self.entry):
-            return
-        rng, d, t = self.rng, self.d, self.t
-        n, a = self.n[self.entry].astype(np.float64), opening[self.entry]
-        for _ in range(moves):
-            slot = _pick(self.start, rng.random(len(n)), self.size, n)
-            self.size[slot] -= 1
-            t -= self.size[slot] == 0
-            new = rng.random(len(n)) * (n - 1 - d * t + a) < a
-            old = np.flatnonzero(~new & (t > 0))
-            new = np.flatnonzero(new | (t == 0))
-            weight = np.where(self.size > 0, self.size - d, 0.0)
-            slot = _pick(self.start[old], rng.random(len(old)), weight, (n - 1 - d * t)[old])
-            self.size[slot] += 1
-            self._sit(new, t)
-        self.tables[self.entry] = t
-
-
-class Model:
-    """The words of a partition: entries (word, context) with customers, sorted by word and context.
-
-    ``t_context``, ``t_parent`` and ``t_root`` are the numbers of tables of the restaurants over all
-    partitions; ``parent`` maps a context to its parent.
+            cut = int(np.searchsorted(self.owner, active))
+            owner, size = self.owner[:cut], self.size[:cut]
+            big = int(np.searchsorted(-self.n, -STEPS, side="left"))
+            table = int(np.searchsorted(owner, big))
+            left = np.zeros(cut, np.int64)
+            left[:table] = rng.binomial(size[:table], 1.0 / STEPS)
+            few = np.arange(big, active)
+            if len(few):
+                start = np.searchsorted(owner, np.arange(active))
+                left[self._draw(few, size.astype(np.float64), start, self.n[:active].astype(np.float64))] += 1
+            many = np.bincount(owner, weights=left, minlength=active).astype(np.int64)
+            owner, size = self._arrive(owner, size - left, many, a[:active])
+            self.owner, self.size = np.r_[owner, self.owner[cut:]], np.r_[size, self.size[cut:]]
+        self._count()
+
+    def state(self) -> list[np.ndarray]:
+        return [np.bincount(self.owner, minlength=len(self.entry)), self.size]
+
+    def resume(self, per_entry: np.ndarray, size: np.ndarray) -> None:
+        self.owner, self.size = np.repeat(np.arange(len(self.entry)), per_entry.astype(np.int64)), size.astype(np.int64)
+        self._count()
+
+
+def sample_contexts(seats: Seating, context, n, parent, tables_elsewhere, customers, sweeps: int, keep: int):
+    """Sweep the restaurants of some contexts; give the average predictive probability of the last ``keep`` sweeps.
+
+    ``parent`` is the parent's probability of each entry's word, ``customers`` the customers of each
+    context in all, ``tables_elsewhere`` the tables that it has in other tasks.
     """
-
-    def __init__(self, word, context, n, parent, t_context, t_parent, t_root, vocabulary: int, seed: int):
-        self.rng = np.random.default_rng(seed)
-        self.word, self.context, self.n, self.parent_of = word, context, n.astype(np.float64), parent
-        self.t = [t_context, t_parent, np.array([t_root])]
-        self.uniform = 1.0 / (vocabulary + 1)
-        self.words = int(word[-1]) + 1 if len(word) else 0
-        key = word.astype(np.int64) * (int(parent.max()) + 1) + parent[context]
-        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        # Contexts of one parent are adjacent numbers, so its entries of a word are adjacent too.
-        self.up = np.cumsum(new) - 1
-        self.mid_word, self.mid = word[new], parent[context][new]
-
-    def _opening(self, level: int, where, below) -> np.ndarray:
-        return (STRENGTH[level] + DISCOUNT[level] * self.t[level][where]) * below
-
-    def sample(self, sweeps: int, burn_in: int, moves: int):
-        """Averages over the sweeps after ``burn_in`` (1 at least): the tables of the entries, of their parents
-        and of the root, and the customers of parents and root less the discount of their tables.
-
-        Given the restaurants' totals the predictive probabilities are linear in these, so their average is
-        the prediction from the averages.
-        """
-        if not self.words:
-            return [np.zeros(0)] * 5
-        leaf = Seating(self.n, 0, self.rng, sweeps * moves)
-        leaf.tables = np.minimum(self.n, 1)
-        got = [np.zeros(len(self.n)), *(np.zeros(len(self.mid)) for _ in range(2)), *(np.zeros(self.words) for _ in range(2))]
-        c_parent, c_root = self._customers()
-        base = np.full(self.words, float(self._opening(2, 0, self.uniform)))
-        root = Seating(np.bincount(self.mid_word, minlength=self.words).astype(float), 2, self.rng, moves)
-        root.seat(base)
-        for sweep in range(sweeps):
-            c_mid = np.bincount(self.up, weights=leaf.tables, minlength=len(self.mid))
-            mid = Seating(c_mid, 1, self.rng, moves)
-            mid_open = self._opening(1, self.mid, self._root(root, base, c_root)[self.mid_word])
-            mid.seat(mid_open)
-            mid.gibbs(mid_open, moves)
-            root = Seating(np.bincount(self.mid_word, weights=mid.tables, minlength=self.words), 2, self.rng, moves)
-            root.seat(base)
-            root.gibbs(base, moves)
-            if sweep >= burn_in:
-                now = leaf.tables, mid.tables, c_mid - DISCOUNT[1] * mid.tables, root.tables, root.n - DISCOUNT[2] * root.tables
-                for total, x in zip(got, now, strict=True):
-                    total += x / (sweeps - burn_in)
-            if sweep < sweeps - 1:
-                mid_open = self._opening(1, self.mid, self._root(root, base, c_root)[self.mid_word])
-                p_mid = (c_mid - DISCOUNT[1] * mid.tables + mid_open) / (STRENGTH[1] + c_parent[self.mid])
-                opening = self._opening(0, self.context, p_mid[self.up])
-                if not sweep:
-                    leaf.seat(opening)
-                leaf.gibbs(opening, moves)
-        return got
-
-    def _customers(self):
-        c_parent = np.bincount(self.parent_of, weights=self.t[0], minlength=len(self.t[1]))
-        return c_parent, float(self.t[1].sum())
-
-    def _root(self, root: Seating, base: np.ndarray, c_root: float) -> np.ndarray:
-        return (root.n - DISCOUNT[2] * root.tables + base) / (STRENGTH[2] + c_root)
+    d, strength = seats.d, STRENGTH[0]
+    total, count = np.zeros(len(n)), len(customers)
+    for s in range(sweeps):
+        opening = (strength + d * (tables_elsewhere + np.bincount(context, weights=seats.tables, minlength=count))[context]) * parent
+        seats.sweep(opening)
+        if s >= sweeps - keep:
+            t = tables_elsewhere + np.bincount(context, weights=seats.tables, minlength=count)
+            total += (n - d * seats.tables + (strength + d * t)[context] * parent) / (strength + customers)[context]
+    return total / keep if keep else total

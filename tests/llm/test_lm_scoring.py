@@ -4,7 +4,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from rowloom.llm import lm_scoring as lm
@@ -40,10 +39,86 @@ def corpus(n, seed):
     return rows
 
 
+def plain_sampler(rows, seed, sweeps=60, burn_in=20):
+    """Scores by one-by-one Gibbs sampling of the same model, in plain Python."""
+    rng, held = random.Random(seed), {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    d, strength = py.DISCOUNT, py.STRENGTH
+    pairs = lambda t: list(zip([0, *tokens(t)], tokens(t)))
+    customers = [p for i, t in rows if not held[i] for p in pairs(t)]
+    vocabulary = len({w for _, w in customers})
+    leaf, root = {}, {}  # table sizes of (context, word) and of word
+    in_context, t_context, in_root, t_root = {}, {}, 0, 0
+
+    def p_root(w):
+        sizes = root.get(w, [])
+        return (sum(sizes) - d[1] * len(sizes) + (strength[1] + d[1] * t_root) / (vocabulary + 1)) / (strength[1] + in_root)
+
+    def p_leaf(u, w):
+        sizes = leaf.get((u, w), [])
+        return (sum(sizes) - d[0] * len(sizes) + (strength[0] + d[0] * t_context.get(u, 0)) * p_root(w)) / (strength[0] + in_context.get(u, 0))
+
+    def pick(weights):
+        x = rng.random() * sum(weights)
+        for k, y in enumerate(weights):
+            x -= y
+            if x < 0:
+                return k
+        return len(weights) - 1
+
+    def sit(u, w):
+        nonlocal in_root, t_root
+        sizes = leaf.setdefault((u, w), [])
+        k = pick([s - d[0] for s in sizes] + [(strength[0] + d[0] * t_context.get(u, 0)) * p_root(w)])
+        in_context[u] = in_context.get(u, 0) + 1
+        if k < len(sizes):
+            sizes[k] += 1
+            return
+        sizes.append(1)
+        t_context[u] = t_context.get(u, 0) + 1
+        above = root.setdefault(w, [])
+        k = pick([s - d[1] for s in above] + [(strength[1] + d[1] * t_root) / (vocabulary + 1)])
+        in_root += 1
+        if k < len(above):
+            above[k] += 1
+        else:
+            above.append(1)
+            t_root += 1
+
+    def rise(u, w):
+        nonlocal in_root, t_root
+        sizes = leaf[u, w]
+        k = pick(sizes)
+        sizes[k] -= 1
+        in_context[u] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            t_context[u] -= 1
+            above = root[w]
+            k = pick(above)
+            above[k] -= 1
+            in_root -= 1
+            if not above[k]:
+                above.pop(k)
+                t_root -= 1
+
+    for u, w in customers:
+        sit(u, w)
+    wanted = {p for _, t in rows for p in pairs(t)}
+    total = dict.fromkeys(wanted, 0.0)
+    for s in range(sweeps):
+        for u, w in customers:
+            rise(u, w)
+            sit(u, w)
+        if s >= burn_in:
+            for p in wanted:
+                total[p] += p_leaf(*p) / (sweeps - burn_in)
+    return {i: sum(math.log10(total[p]) for p in pairs(t)) for i, t in rows}
+
+
 def test_contract_fields_and_gain(spark):
     rows = corpus(300, 1) + [(900, None), (901, ""), (902, " \n"), (903, "É É B b"), (904, "z" * 100_000), (905, "a1x " * 40_000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, tokens int").repartition(6)
-    got = {r.doc_id: r for r in lm.score(df).collect()}
+    got = {r.doc_id: r for r in lm.score(df, bucket_bytes=30_000).collect()}
     want = brute(rows)
     assert set(got) == set(want)
     for i, (held, n, known, train, base) in want.items():
@@ -55,69 +130,95 @@ def test_contract_fields_and_gain(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) + 0.1 * sum(r.n_tokens for r in unseen)
 
 
-def _model(rows, seed=0):
-    words = lm._Words()
-    texts = []
-    for _, t in rows:
-        made = [*(t or "").encode().lower().split(), lm._END]
-        texts.append(np.array([words[w] for w in made], np.int64))
-    (_, entries, _, _), = lm._count([(i, False, len(t)) for (i, _), t in zip(rows, texts)], texts, words, 1, 0)
-    merged, = lm._merge([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([entries], pa.binary())], names=["part", "entries"])])
-    m = merged.to_pylist()[0]
-    totals = {"vocabulary": m["words"], "tokens": float(sum(m["customers"])), "c_context": np.array(m["customers"], float), "t_context": np.array(m["types"], float),
-              "t_parent": np.array(m["parents"], float), "t_root": float(m["words"])}
-    counts = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([m["counts"]], pa.binary())], names=["part", "counts"])
-    seated, = lm._seat(totals, 4, 1, 2, True)([counts])
-    s = seated.to_pylist()[0]
-    totals |= {"t_context": np.array(s["tables"]), "t_parent": np.array(s["parents"]), "t_root": s["root"][0]}
-    return words, totals, s["model"], m
+def test_scores_agree_with_a_plain_sampler(spark):
+    rows = corpus(80, 7)
+    want = plain_sampler(rows, 1)
+    again = plain_sampler(rows, 2)
+    error = max(abs(want[i] - again[i]) for i in want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1 << 30, 4_000):  # one bucket, and several with tokens dealt over all of them
+        got = {r.doc_id: r.score for r in lm.score(df, bucket_bytes=size).collect()}
+        assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.005)
+        assert max(abs(got[i] - want[i]) for i in want) < max(4 * error, 0.6)
 
 
 def test_predictive_probabilities_sum_to_one():
-    words, totals, model, merged = _model(corpus(200, 3))
-    hashes = np.sort(np.array([lm.xxhash.xxh64_intdigest(w, 3) for w in words], np.uint64))
-    unknown = np.uint64(12345)
-    hashes = np.sort(np.r_[hashes, unknown])
-    n = len(hashes)
-    for context in (lm.CONTEXTS - 1, lm.context_of(b"a1x"), lm.context_of(b"b2y"), lm.context_of(b"never")):
-        entries = lm._pack(hashes, np.ones(n, np.uint16), np.full(n, context, np.uint16), np.zeros(n, np.uint32))
-        places = lm._pack(np.ones(n, np.uint32), np.arange(n, dtype=np.uint16))
-        rows = [{"part": 0, "deal": 0, "batch": None, "entries": None, "places": None, "model": model}, {"part": 0, "deal": 0, "batch": 1, "entries": entries, "places": places, "model": None}]
-        made, = lm._score(totals)([pa.RecordBatch.from_pylist(rows)])
-        at, log10, _, _ = lm._unpack(made.to_pylist()[0]["sums"])
-        assert len(at) == n
-        assert float((10 ** log10).sum()) == pytest.approx(1.0, abs=0.001)
+    """In three contexts over all words of a parent whose probabilities sum to one, and with tables elsewhere."""
+    rng = np.random.default_rng(8)
+    words, contexts = 500, 3
+    context, parent = np.repeat(np.arange(contexts), words), rng.dirichlet(np.ones(words))
+    n = np.where(rng.random(len(context)) < 0.2, rng.zipf(1.6, len(context)), 0).clip(max=20_000).astype(float)
+    n[context == 2] = 0
+    customers = np.bincount(context, weights=n)
+    p = py.sample_contexts(py.Seating(n, py.DISCOUNT[0], rng), context, n, np.tile(parent, contexts), np.zeros(contexts), customers, 6, 3)
+    assert np.bincount(context, weights=p) == pytest.approx(1.0, abs=1e-9)
+    half = np.arange(len(n)) % 2 == 0  # the same contexts, dealt over two tasks
+    parts = [py.Seating(n[x], py.DISCOUNT[0], rng) for x in (half, ~half)]
+    tables = [np.bincount(context[x], weights=s.tables, minlength=contexts) for x, s in zip((half, ~half), parts)]
+    total = 0
+    for x, s, other in zip((half, ~half), parts, tables[::-1]):
+        total = total + np.bincount(context[x], weights=py.sample_contexts(s, context[x], n[x], np.tile(parent, contexts)[x], other, customers, 1, 1), minlength=contexts)
+    assert total == pytest.approx(1.0, abs=0.1)  # each half saw the other's tables of one sweep before
+
+
+def _exact_tables(n, d, a):
+    """The mean number of tables of n customers, from generalised Stirling numbers."""
+    log = np.full((n + 1, n + 1), -np.inf)
+    log[1, 1] = 0.0
+    for k in range(1, n):
+        t = np.arange(1, k + 1)
+        log[k + 1, 1 : k + 1] = np.logaddexp(log[k, 1 : k + 1] + np.log(k - d * t), log[k, :k])
+        log[k + 1, k + 1] = log[k, k]
+    p = log[n, 1:] + np.arange(1, n + 1) * math.log(a)
+    p = np.exp(p - p.max())
+    return float((p * np.arange(1, n + 1)).sum() / p.sum())
+
+
+@pytest.mark.parametrize(("n", "a", "room"), [(2, 0.5, 0.02), (7, 2.0, 0.02), (16, 1.0, 0.03), (60, 1.5, 0.06), (400, 3.0, 0.06), (400, 40.0, 0.06)])
+def test_tables_have_their_exact_mean(n, a, room):
+    rng = np.random.default_rng(n)
+    seats = py.Seating(np.full(6000, float(n)), py.DISCOUNT[0], rng)
+    got = []
+    for s in range(40):
+        seats.sweep(np.full(6000, a))
+        got.append(seats.tables.mean())
+    assert np.mean(got[15:]) == pytest.approx(_exact_tables(n, py.DISCOUNT[0], a), rel=room)
+
+
+def test_a_large_entry_mixes_as_one_by_one_sampling_does():
+    """100,000 customers: as many tables as in the limit 1 + Poisson(opening / discount)."""
+    seats = py.Seating(np.full(500, 100_000.0), py.DISCOUNT[0], np.random.default_rng(4))
+    got = []
+    for s in range(30):
+        seats.sweep(np.full(500, 2.0))
+        got.append(seats.tables.mean())
+    assert np.mean(got[10:]) == pytest.approx(1 + 2.0 / py.DISCOUNT[0], rel=0.08)
 
 
 def test_seating_keeps_customers_and_tables():
     rng = np.random.default_rng(2)
-    n = np.r_[np.ones(50), rng.integers(2, 9, 400), rng.integers(9, 5000, 60)].astype(float)
-    seats = py.Seating(n, 0, rng, 40)
-    opening = np.full(len(n), 0.7)
-    seats.seat(opening)
+    n = np.r_[np.ones(50), rng.integers(2, 9, 400), rng.integers(9, 5000, 60), np.zeros(5)].astype(float)
+    seats = py.Seating(n, py.DISCOUNT[0], rng)
     for _ in range(10):
-        assert (np.add.reduceat(seats.size, seats.start) == n[seats.entry]).all()
-        owner = np.repeat(np.arange(len(seats.start)), np.diff(np.r_[seats.start, len(seats.size)]))
-        assert (np.bincount(owner, weights=seats.size > 0) == seats.tables[seats.entry]).all()
-        seats.gibbs(opening, 4)
-
-
-def test_gibbs_samples_the_conditional_distribution():
-    """Two customers of one word: P(one table) : P(two tables) = (1 - d) : opening."""
-    rng = np.random.default_rng(3)
-    seats = py.Seating(np.full(40_000, 2.0), 0, rng, 40)
-    seats.seat(np.full(40_000, 0.5))
-    seats.gibbs(np.full(40_000, 0.5), 20)
-    d = py.DISCOUNT[0]
-    assert (seats.tables == 2).mean() == pytest.approx(0.5 / (1 - d + 0.5), abs=0.02)
-
-
-def test_same_result_for_any_partitioning(spark):
-    rows = corpus(120, 5)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {r.doc_id: r.score for r in lm.score(df.repartition(1)).collect()}
-    many = {r.doc_id: r.score for r in lm.score(df.repartition(7)).collect()}
-    assert one == pytest.approx(many, rel=1e-6)
+        seats.sweep(np.full(len(n), 0.7))
+        assert (np.bincount(seats.owner, weights=seats.size) == seats.n).all()
+        assert (np.bincount(seats.owner) == seats.tables[seats.entry]).all() and seats.size.min() > 0
+        assert (seats.tables[n == 1] == 1).all() and (seats.tables[n == 0] == 0).all()
+        other = py.Seating(n, py.DISCOUNT[0], rng)
+        other.resume(*seats.state())
+        assert (other.tables == seats.tables).all()
+
+
+def test_same_scores_for_any_number_of_partitions(spark):
+    df = spark.createDataFrame(corpus(120, 5), "doc_id long, text string")
+    made, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width, parts in ((4, 1), (9, 7), (200, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            made.append({r.doc_id: r.score for r in lm.score(df.repartition(parts), bucket_bytes=8_000).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == pytest.approx(made[1], rel=1e-6) and made[0] == pytest.approx(made[2], rel=1e-6)
 
 
 def test_edges(spark):
