@@ -43,14 +43,14 @@ from rowloom.llm.pitman_yor import DISCOUNT, STRENGTH, Seating, sample_contexts
 #: Tokens that a scan task counts at once.
 BATCH = 4_000_000
 #: Bytes of text that make one bucket.
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 8_000_000
 #: Rounds of exchange with the root, sweeps of a round, and the sweeps of the last one whose predictions are averaged.
-ROUNDS, SWEEPS, KEPT = 2, 5, 3
+ROUNDS, SWEEPS, KEPT = 2, 4, 3
 _END = b"\n"  # no word is white space
 _START = np.uint64(xxhash.xxh64_intdigest(b" ", 3))
 _TAG = np.uint64(0xA5A5A5A5A5A5A5A5)
 #: Kinds of rows, in the order in which a task has to see them.
-_DOCUMENT, _PLACES, _MERGED, _STATE, _REPLY, _ASKED, _REQUEST, _SUM, _ANSWER = range(9)
+_DOCUMENT, _PLACES, _MERGED, _STATE, _REPLY, _ASKED, _KNOWN, _REQUEST, _SUM, _ANSWER = range(10)
 _NAMES = ["key", "kind", "at", "blob", "num", "row", "__id", "__held"]
 
 
@@ -232,13 +232,9 @@ def _merge(buckets: int, spread: np.ndarray):
         place[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         u, w, n = u[first], w[first], np.add.reduceat(n, first)
-        context = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        words, which = np.unique(w, return_inverse=True)
-        to = np.argsort(_root_task(words, buckets), kind="stable")  # words by root task, then by hash
-        back = np.empty(len(to), np.int64)
-        back[to] = np.arange(len(to))
-        blob = _pack(u[context], _narrow(np.diff(np.r_[context, len(u)])), words[to], _narrow(back[which]), _narrow(n))
-        yield _rows(id_type, [key], _MERGED, 0, [blob], float(n.sum()))
+        b, words, contexts = _Bucket.made(u, w, n, buckets, spread)
+        yield _rows(id_type, [key], _MERGED, 0, [b.packed()], float(n.sum()))
+        yield from b.requests(id_type, key, np.minimum(n, 1), words, contexts)
         end = np.cumsum(sizes)
         for (_, batch, _, _), a, z in zip(rows, end - sizes, end, strict=True):
             yield _rows(id_type, [key], _ASKED, batch, [_pack(_narrow(np.diff(place[a:z], prepend=0)))])
@@ -271,96 +267,120 @@ def _merge(buckets: int, spread: np.ndarray):
 
 
 class _Bucket:
-    """The pairs of a bucket with what comes in about them."""
-
-    def __init__(self, key: int, blob: bytes, buckets: int, spread: np.ndarray):
-        self.key, self.buckets = key, buckets
-        self.contexts, per, self.words, which, n = _unpack(blob)
-        self.context, self.word, self.n = np.repeat(np.arange(len(self.contexts)), per.astype(np.int64)), which.astype(np.int64), n.astype(np.float64)
-        self.customers = np.bincount(self.context, weights=self.n, minlength=len(self.contexts))
-        self.elsewhere = np.zeros(len(self.contexts))
-        self.root = _root_task(self.words, buckets)
-        parted = np.flatnonzero(np.isin(self.contexts, spread))
-        task = _root_task(self.contexts[parted], buckets)
-        order = np.argsort(task, kind="stable")
-        self.parted, self.parted_task = parted[order], task[order]
-
-    def requests(self, id_type, tables: np.ndarray):
-        """Tables and customers of the words, and of contexts that other buckets have too, to their root tasks."""
-        t = np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.int64)
-        n = np.bincount(self.word, weights=self.n, minlength=len(self.words)).astype(np.int64)
-        ct = np.bincount(self.context, weights=tables, minlength=len(self.contexts)).astype(np.int64)[self.parted]
+    """The pairs of a bucket: for each its context, its word and its customers, all as numbers within the bucket.
+
+    Words are numbered by root task and hash, and so are the contexts that other buckets have too (``parted``).
+    ``tasks`` are the root tasks, with the numbers of words and of such contexts that each has.
+    """
+
+    def __init__(self, blob: bytes):
+        per, word, n, parted, self.tasks, self.words_of, self.parted_of = (x.astype(np.int64) for x in _unpack(blob))
+        self.context, self.word, self.n = np.repeat(np.arange(len(per)), per), word, n.astype(np.float64)
+        self.parted = parted
+        self.customers = np.bincount(self.context, weights=self.n, minlength=len(per))
+
+    @classmethod
+    def made(cls, u: np.ndarray, w: np.ndarray, n: np.ndarray, buckets: int, spread: np.ndarray):
+        """A bucket from pairs sorted by context, and the hashes of its words and parted contexts."""
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        contexts, (words, which) = u[first], np.unique(w, return_inverse=True)
+        task = _root_task(words, buckets)
+        to = np.argsort(task, kind="stable")
+        back = np.empty(len(to), np.int64)
+        back[to] = np.arange(len(to))
+        parted = np.flatnonzero(np.isin(contexts, spread))
+        parted = parted[np.argsort(_root_task(contexts[parted], buckets), kind="stable")]
+        parted_task = _root_task(contexts[parted], buckets)
+        tasks = np.union1d(task, parted_task)
+        many = lambda t: np.diff(np.searchsorted(np.sort(t), np.r_[tasks, buckets]))
+        blob = _pack(*map(_narrow, (np.diff(np.r_[first, len(u)]), back[which], n, parted, tasks, many(task), many(parted_task))))
+        return cls(blob), words[to], contexts[parted]
+
+    def packed(self) -> bytes:
+        per = np.bincount(self.context)
+        return _pack(*map(_narrow, (per, self.word, self.n, self.parted, self.tasks, self.words_of, self.parted_of)))
+
+    def requests(self, id_type, key: int, tables: np.ndarray, words=None, contexts=None):
+        """The tables of the words and of parted contexts to their root tasks; the first time with hashes and customers."""
+        of_word = lambda x: np.bincount(self.word, weights=x, minlength=int(self.words_of.sum())).astype(np.int64)
+        t, n = of_word(tables), of_word(self.n)
+        ct = np.bincount(self.context, weights=tables, minlength=len(self.customers)).astype(np.int64)[self.parted]
         cn = self.customers.astype(np.int64)[self.parted]
-        for q in np.unique(np.r_[self.root, self.parted_task]).tolist():
-            a, z = np.searchsorted(self.root, (q, q + 1))
-            x, y = np.searchsorted(self.parted_task, (q, q + 1))
-            blob = _pack(self.words[a:z], _narrow(t[a:z]), _narrow(n[a:z]), self.contexts[self.parted][x:y], _narrow(ct[x:y]), _narrow(cn[x:y]))
-            yield _rows(id_type, [q], _REQUEST, self.key, [blob])
+        z, y = np.cumsum(self.words_of), np.cumsum(self.parted_of)
+        for q, i, j, k, m in zip(self.tasks.tolist(), z - self.words_of, z, y - self.parted_of, y, strict=True):
+            sent = [_narrow(t[i:j]), _narrow(ct[k:m])]
+            if words is not None:
+                sent += [words[i:j], contexts[k:m], _narrow(n[i:j]), _narrow(cn[k:m])]
+            yield _rows(id_type, [q], _REQUEST, key, [_pack(*sent)], float(t[i:j].sum()))
 
     def take(self, replies: list[bytes], totals: dict, own_tables: np.ndarray) -> None:
         """The root's probability and the training count of each word, from replies in the order of root tasks."""
         left, count, tables, customers = (np.concatenate(x) for x in zip(*map(_unpack, replies), strict=True))
         self.parent = (left + totals["base"]) / totals["root"]
         self.count = count.astype(np.float64)
-        mine = np.bincount(self.context, weights=own_tables, minlength=len(self.contexts))[self.parted]
+        mine = np.bincount(self.context, weights=own_tables, minlength=len(self.customers))[self.parted]
+        self.elsewhere = np.zeros(len(self.customers))
         self.elsewhere[self.parted] = tables - mine
-        self.customers[self.parted] = customers
-
-
-def _ask(buckets: int, spread: np.ndarray):
-    """The first requests: one table for each pair."""
-
-    def each(id_type, key, rows):
-        b = _Bucket(key, rows[0][2], buckets, spread)
-        yield from b.requests(id_type, np.minimum(b.n, 1))
-
-    return _by_key(each)
+        self.served = self.customers.copy()
+        self.served[self.parted] = customers
 
 
 def _roots(totals: dict | None, number: int):
     """Seat the root's customers for the words of a root task and answer all buckets.
 
-    In the first round, where the totals aren't known yet, every word has one table.
+    In the first round, where the totals aren't known yet, every word has one table; the task then keeps which words
+    each bucket asks for.
     """
 
     def each(id_type, key, rows):
-        got = [_unpack(blob) for _, _, blob, _ in rows]
-        words, word = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        tables, count = (np.bincount(word, weights=np.concatenate([g[i] for g in got]), minlength=len(words)) for i in (1, 2))
-        contexts, context = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
-        c_tables, c_count = (np.bincount(context, weights=np.concatenate([g[i] for g in got]), minlength=len(contexts)) for i in (4, 5))
+        asked = [(at, _unpack(blob)) for kind, at, blob, _ in rows if kind == _REQUEST]
+        t, ct = (np.concatenate([g[i] for _, g in asked]).astype(float) for i in (0, 1))
+        if totals is None:
+            (words, word), (contexts, context) = (np.unique(np.concatenate([g[i] for _, g in asked]), return_inverse=True) for i in (2, 3))
+            n_words, n_contexts = len(words), len(contexts)
+            count = np.bincount(word, weights=np.concatenate([g[4] for _, g in asked]), minlength=n_words).astype(np.int64)
+            c_count = np.bincount(context, weights=np.concatenate([g[5] for _, g in asked]), minlength=n_contexts).astype(np.int64)
+            yield _rows(id_type, [key], _KNOWN, -1, [_pack(_narrow(count), _narrow(c_count))])
+        else:
+            known = {at: _unpack(blob) for kind, at, blob, _ in rows if kind == _KNOWN}
+            count, c_count = (x.astype(np.int64) for x in known[-1])
+            n_words, n_contexts = len(count), len(c_count)
+            word, context = (np.concatenate([np.cumsum(known[at][i].astype(np.int64)) for at, _ in asked]) for i in (0, 1))
+        tables, c_tables = np.bincount(word, weights=t, minlength=n_words), np.bincount(context, weights=ct, minlength=n_contexts)
         seated = np.minimum(tables, 1)
-        if totals is not None and len(words):
-            seats, total = Seating(tables, DISCOUNT[1], np.random.default_rng([number, key, 1])), np.zeros(len(words))
+        if totals is not None and n_words:
+            seats, total = Seating(tables, DISCOUNT[1], np.random.default_rng([number, key, 1])), np.zeros(n_words)
             for s in range(SWEEPS):
-                seats.sweep(np.full(len(words), totals["base"]))
+                seats.sweep(np.full(n_words, totals["base"]))
                 total += seats.tables if s >= SWEEPS - KEPT else 0
             seated = total / KEPT
         left = (tables - DISCOUNT[1] * seated).astype(np.float32)
         yield _rows(id_type, [key], _SUM, num=float(seated.sum()))
         a = x = 0
-        for (_, bucket, _, _), g in zip(rows, got, strict=True):
-            i, j = word[a : a + len(g[0])], context[x : x + len(g[3])]
+        for bucket, g in asked:
+            i, j = word[a : a + len(g[0])], context[x : x + len(g[1])]
             a, x = a + len(i), x + len(j)
-            yield _rows(id_type, [bucket], _REPLY, key, [_pack(left[i], _narrow(count[i].astype(np.int64)), c_tables[j], c_count[j])])
+            yield _rows(id_type, [bucket], _REPLY, key, [_pack(left[i], _narrow(count[i]), c_tables[j], c_count[j])])
+            if totals is None:  # both are sorted by hash, so the differences are small
+                yield _rows(id_type, [key], _KNOWN, bucket, [_pack(_narrow(np.diff(i, prepend=0)), _narrow(np.diff(j, prepend=0)))])
 
     return _by_key(each)
 
 
-def _seat(totals: dict, number: int, last: bool, buckets: int, spread: np.ndarray):
+def _seat(totals: dict, number: int, last: bool):
     """Seat a bucket's customers; then ask the root again, or answer the batches."""
 
     def each(id_type, key, rows):
         of = lambda kind: [r for r in rows if r[0] == kind]
-        b = _Bucket(key, of(_MERGED)[0][2], buckets, spread)
+        b = _Bucket(of(_MERGED)[0][2])
         seats = Seating(b.n, DISCOUNT[0], np.random.default_rng([number, key, 0]))
         for _, _, blob, _ in of(_STATE):
             seats.resume(*_unpack(blob))
         b.take([r[2] for r in of(_REPLY)], totals, seats.tables)
-        p = sample_contexts(seats, b.context, b.n, b.parent[b.word], b.elsewhere, b.customers, SWEEPS, KEPT if last else 0)
+        p = sample_contexts(seats, b.context, b.n, b.parent[b.word], b.elsewhere, b.served, SWEEPS, KEPT if last else 0)
         if not last:
             yield _rows(id_type, [key], _STATE, blob=[_pack(*map(_narrow, seats.state()))], num=float(seats.tables.sum()))
-            yield from b.requests(id_type, seats.tables)
+            yield from b.requests(id_type, key, seats.tables)
             return
         p, count = p.astype(np.float32), b.count[b.word].astype(np.int64)
         for _, batch, blob, _ in of(_ASKED):
@@ -451,32 +471,26 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     of = lambda rows, kind: rows.filter(F.col("kind") == kind)
     merged = of(counted, _MERGED)
     tokens = float(merged.agg(F.sum("num")).first()[0] or 0)
-    asked, state, totals = merged.mapInArrow(tidy(_ask(buckets, spread)), schema), None, None
-    vocabulary, customers = 0, float(merged.mapInArrow(tidy(_types), "n double").agg(F.sum("n")).first()[0] or 0)
+    asked, state, known, totals = of(counted, _REQUEST), None, None, None
+    vocabulary, customers = 0, float(asked.agg(F.sum("num")).first()[0] or 0)
     for number in range(ROUNDS):
-        replies = cut_lineage(_dealt(asked, parts, _roots(totals, number), schema))
+        replies = cut_lineage(_dealt(asked if known is None else asked.unionByName(known), parts, _roots(totals, number), schema))
+        known = of(replies, _KNOWN) if known is None else known
         root_tables = float(of(replies, _SUM).agg(F.sum("num")).first()[0] or 0)
         vocabulary = vocabulary or int(root_tables)
         totals = {"tokens": tokens, "vocabulary": vocabulary, "root": STRENGTH[1] + customers, "base": (STRENGTH[1] + DISCOUNT[1] * root_tables) / (vocabulary + 1)}
         given = merged.unionByName(of(replies, _REPLY))
         given = given if state is None else given.unionByName(state)
-        if number == ROUNDS - 1:
-            break
-        seated = cut_lineage(_dealt(given, parts, _seat(totals, number, False, buckets, spread), schema))
         free_shuffles(df.sparkSession)
-        state, asked = of(seated, _STATE), of(seated, _REQUEST)
-        customers = float(state.agg(F.sum("num")).first()[0] or 0)
-    seated = _dealt(given.unionByName(of(counted, _ASKED)), parts, _seat(totals, ROUNDS, True, buckets, spread), schema)
-    answered = seated.unionByName(counted.filter("key < 0"))
+        if number < ROUNDS - 1:
+            seated = cut_lineage(_dealt(given, parts, _seat(totals, number, False), schema))
+            state, asked = of(seated, _STATE), of(seated, _REQUEST)
+            customers = float(state.agg(F.sum("num")).first()[0] or 0)
+    answers = _dealt(given.unionByName(of(counted, _ASKED)), parts, _seat(totals, ROUNDS, True), schema)
+    answered = answers.unionByName(counted.filter("key < 0"))
     out = f"`{id_col}` {slim.schema['__id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return _dealt(answered, parts, _finish(totals, id_col), out)
 
 
-def _types(batches):
-    """Pairs of the training documents."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([float(np.count_nonzero(_unpack(x)[4])) for x in b.column("blob").to_pylist()], pa.float64())], names=["n"])
-
-
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -131,15 +131,16 @@ def test_contract_fields_and_gain(spark):
 
 
 def test_scores_agree_with_a_plain_sampler(spark):
-    rows = corpus(80, 7)
+    rng = random.Random(9)  # "of" makes up a fifth, so its pairs are dealt over all buckets
+    rows = [(i, " ".join(y for w in t.split() for y in ([w, "of"] if rng.random() < 0.3 else [w]))) for i, t in corpus(80, 7)]
     want = plain_sampler(rows, 1)
     again = plain_sampler(rows, 2)
     error = max(abs(want[i] - again[i]) for i in want)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (1 << 30, 4_000):  # one bucket, and several with tokens dealt over all of them
+    for size in (1 << 30, 1_200):  # one bucket, and several with tokens dealt over all of them
         got = {r.doc_id: r.score for r in lm.score(df, bucket_bytes=size).collect()}
-        assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.005)
-        assert max(abs(got[i] - want[i]) for i in want) < max(4 * error, 0.6)
+        assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.008)
+        assert max(abs(got[i] - want[i]) for i in want) < max(4 * error, 1.5)
 
 
 def test_predictive_probabilities_sum_to_one():
