@@ -67,6 +67,44 @@ def pairs_within(fingerprints: np.ndarray, later: np.ndarray, radius: int):
             yield i, i + s, distance
 
 
+def rows_within(fingerprints: np.ndarray, queries: int, radius: int):
+    """Yield (i, j) arrays of pairs i < j at most ``radius`` bits apart with i among the first ``queries`` rows.
+
+    For large groups: 64 queries at a time meet all later rows, 64 rows a word.  The counters work as in ``pairs_within``,
+    and blocks of a query and 64 rows that have all overflown are abandoned.
+    """
+    width = max(1, int(radius).bit_length())
+    bias = (1 << width) - 1 - radius
+    sliced = planes(fingerprints, 0)
+    bits = np.unpackbits(fingerprints[:queries], axis=1, bitorder="little").astype(bool)
+    inside = np.zeros(sliced.shape[1] * 64, np.uint8)
+    inside[: len(fingerprints)] = 1
+    inside = np.packbits(inside, bitorder="little").view(np.uint64)
+    for first in range(0, queries, 64):
+        asked = np.arange(first, min(first + 64, queries))
+        words = np.arange(first >> 6, sliced.shape[1])
+        query, at = np.repeat(asked, len(words)), np.tile(words, len(asked))
+        alive = inside[at]
+        counters = [np.full(len(at), ~np.uint64(0) if bias >> c & 1 else np.uint64(0)) for c in range(width)]
+        for p, plane in enumerate(sliced):
+            carry = np.where(bits[query, p], ~plane[at], plane[at])
+            for c in range(width):
+                total = counters[c] ^ carry
+                carry &= counters[c]
+                counters[c] = total
+            alive &= ~carry
+            if p % 16 == 15 and p > radius:
+                keep = alive != 0
+                if not keep.all():
+                    query, at, alive, counters = query[keep], at[keep], alive[keep], [c[keep] for c in counters]
+                    if not len(at):
+                        break
+        if len(at):
+            block, bit = np.nonzero(_unpack(alive))
+            i, j = query[block], at[block] * 64 + bit
+            yield i[j > i], j[j > i]
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Indexes of the edges of a minimum spanning forest (small integer weights) over n nodes."""
     root, chosen = np.arange(n), []

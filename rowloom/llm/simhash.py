@@ -1,6 +1,7 @@
 """Near-duplicate detection by SimHash, compared in bit-sliced blocks.
 
-``drop_near_duplicates`` goes by exact similarity instead, see :mod:`rowloom.llm.set_join`.
+``drop_near_duplicates`` compares fingerprints of shingle sets in the same way and then checks pairs exactly, see
+:mod:`rowloom.llm.set_join`.
 
 Every text gets a fingerprint: bit b is 1 if over half of its shingle hashes have bit b set.  Equal
 fingerprints are merged first, so a group of copies is one row from there on.  Rows then meet in
@@ -78,6 +79,15 @@ def fingerprint(text: str | None, k: int, bits: int) -> bytes:
     return np.packbits(2 * ones > n, bitorder="little").tobytes()
 
 
+def set_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+    """The fingerprint of a set of shingles, each counted once."""
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        words = np.stack([_mixed(hashes[at : at + _BLOCK], j) for j in range(bits // 64)], axis=1)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
 def fingerprints(df: DataFrame, k: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """__id, __hash (of the text) and fp of every row; written out, since much is made of it."""
 
@@ -200,15 +210,14 @@ def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3,
     return rows.join(of, "node")
 
 
-def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, tables: int | None = None, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, without all but the smallest id of each near-duplicate component.
 
-    Texts are linked where the Jaccard similarity of their shingle sets reaches ``min_similarity``: all such pairs and
-    no others, by :mod:`rowloom.llm.set_join`.  Fingerprints play no part, since they count repeats;
-    ``tables`` is still taken from callers of the sampled search and changes nothing.
+    Texts are linked where the Jaccard similarity of their shingle sets reaches ``min_similarity``.  Pairs come from bit-sliced
+    comparison of 256-bit SimHash fingerprints of these sets, in the buckets of :mod:`rowloom.llm.set_join`, and
+    every pair is checked exactly before links are thinned.
     """
-    rows = similar_groups(df, shingle_hashes, k, min_similarity, id_col, text_col)
+    rows = similar_groups(df, shingle_hashes, set_fingerprint, k, min_similarity, id_col, text_col)
     mine = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
     gone = cut_lineage(rows.filter(mine != F.col("best")).select("__id", "__hash").distinct())
     return without_rows(df, gone, id_col, text_col)

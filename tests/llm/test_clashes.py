@@ -12,7 +12,7 @@ def test_clashing_names_and_types(spark):
     items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
     same = lambda out: out.columns == df.columns and out.count() > 0
     assert same(exact_dedup.drop_duplicates(df))
-    assert same(simhash.drop_near_duplicates(df, tables=4))
+    assert same(simhash.drop_near_duplicates(df))
     assert same(decontam.drop_contaminated(df, items))
     assert same(toxicity.drop_toxic(df, labels))
     everything = [
