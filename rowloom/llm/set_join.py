@@ -8,7 +8,8 @@ common order of the shingles they share one of the first ``n - ceil(least * n) +
    by hash.  Slots are shared, so counts are too high for some; that costs time and never a pair.
 2. Postings that meet no other node go; the others meet in buckets, one for each shingle.
 3. First every node is compared with its ``NEAR`` neighbours by size in each bucket.  Bit-sliced comparison gives the pairs
-   within the radius, and these are checked on the whole sets.
+   within the radius.  Those that also pass the bound on the parity bits of the sets (two sets differ in at least as many
+   shingles as parity bits) are checked on the whole sets.
 4. Then every pair of a bucket whose ends the checked links leave in different components is compared and
    checked, so nothing rests on unchecked links, and a large group of copies isn't compared pair by pair.
 
@@ -39,8 +40,8 @@ from rowloom.llm.graph import components
 LOG2_SLOTS = 22
 SLOTS = 1 << LOG2_SLOTS
 _CHUNK = 16_384
-#: Bits of a fingerprint.
-BITS = 256
+#: Bits of a fingerprint, and parity bits of a set.
+BITS, PARITY = 256, 512
 #: Neighbours in a bucket that the first round compares, and rows of a bucket from which it is compared by itself.
 NEAR, LARGE = 4, 48
 #: Rows of a bucket that one group compares; larger buckets are cut.
@@ -61,6 +62,10 @@ def radius(least: float, bits: int = BITS) -> int:
     return min(bits, math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p))))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _set(text: str | None, shingle_hashes, k: int) -> np.ndarray:
     return np.unique(np.concatenate([*shingle_hashes(text, k), np.zeros(0, np.uint64)]))
 
@@ -70,7 +75,7 @@ def _node(name: bytes) -> int:
 
 
 def shingle_sets(df: DataFrame, shingle_hashes, fingerprint, k: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """__id, __hash, node and name (of the set), size and bits of every row, written out; and the count classes.
+    """__id, __hash, node and name (of the set), size, bits and parity bits (odd) of every row, written out; and the count classes.
 
     The class of a slot is twice the logarithm of the number of shingles in it: 4 MB whatever the input.
     """
@@ -79,23 +84,24 @@ def shingle_sets(df: DataFrame, shingle_hashes, fingerprint, k: int, id_col: str
         count, id_type = np.zeros(SLOTS, np.uint32), None
         for b in batches:
             id_type = b.column("__id").type
-            names, sizes, bits = [], [], []
+            names, sizes, bits, odd = [], [], [], []
             for text in b.column("__text").to_pylist():
                 s = _set(text, shingle_hashes, k)
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 bits.append(fingerprint(s, BITS))
+                odd.append(parity(s))
                 np.add.at(count, _slot(s), 1)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("__id"), b.column("__hash"), pa.array([_node(x) for x in names], pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()),
-                 pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=columns)
+                 pa.array(bits, pa.binary()), pa.array(odd, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=columns)
         if id_type is not None:
             chunks = [(c, x) for c, x in enumerate(count.reshape(-1, _CHUNK)) if x.any()]
             n = len(chunks)
             packed = [zstandard.compress(x.tobytes(), 1) for _, x in chunks]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, id_type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())),
+                [pa.nulls(n, id_type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())),
                  pa.array([c for c, _ in chunks], pa.int32()), pa.array(packed, pa.binary())], names=columns)
 
     def add(batches):
@@ -107,15 +113,15 @@ def shingle_sets(df: DataFrame, shingle_hashes, fingerprint, k: int, id_col: str
             made = (2 * np.log2(np.maximum(x, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["chunk", "n"])
 
-    columns = ["__id", "__hash", "node", "name", "size", "bits", "chunk", "n"]
+    columns = ["__id", "__hash", "node", "name", "size", "bits", "odd", "chunk", "n"]
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    made = cut_lineage(rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, node long, name binary, size int, bits binary, chunk int, n binary"))
+    made = cut_lineage(rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, node long, name binary, size int, bits binary, odd binary, chunk int, n binary"))
     summed = made.filter("chunk IS NOT NULL").select("chunk", "n").repartition(shuffle_width(df.sparkSession), "chunk").mapInArrow(tidy(add), "chunk int, n binary")
     classes = np.zeros((SLOTS // _CHUNK, _CHUNK), np.uint8)
     for r in summed.collect():
         classes[r["chunk"]] = np.frombuffer(r["n"], np.uint8)
-    return made.filter("chunk IS NULL").select(*columns[:6]), classes.reshape(-1)
+    return made.filter("chunk IS NULL").select(*columns[:7]), classes.reshape(-1)
 
 
 def _prefixes(classes, shingle_hashes, k: int, least: float):
@@ -168,11 +174,13 @@ def postings(df: DataFrame, rows: DataFrame, classes: np.ndarray, shingle_hashes
 
 def _pairs(least: float, thin: bool):
     """Pairs (a, b) within the radius whose sizes and roots allow a link; with ``thin`` among neighbours only."""
-    within = radius(least)
+    within, apart = radius(least), (1 - least) / (1 + least)
 
-    def compare(group, node, root, size, bits):
+    def compare(group, node, root, size, bits, odd):
         def batch(a, b):
             on = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - _EPS)
+            a, b = a[on], b[on]
+            on = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= (size[a] + size[b]) * apart + _EPS
             a, b = node[a[on]], node[b[on]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -206,7 +214,8 @@ def _pairs(least: float, thin: bool):
             group = number + np.r_[0, np.cumsum((ids[1:] != ids[:-1]).any(axis=1))]
             number, before = int(group[-1]), ids[-1]
             bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            held.append((group, b.column("node").to_numpy(), b.column("root").to_numpy(), b.column("size").to_numpy().astype(np.int64), bits))
+            odd = np.frombuffer(b"".join(b.column("odd").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            held.append((group, b.column("node").to_numpy(), b.column("root").to_numpy(), b.column("size").to_numpy().astype(np.int64), bits, odd))
             count += b.num_rows
             if count >= _ROWS:
                 every = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -264,7 +273,7 @@ def checked(found: DataFrame, df: DataFrame, rows: DataFrame, shingle_hashes, k:
 def similar_groups(df: DataFrame, shingle_hashes, fingerprint, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """__id, __hash and best (none, __id, __hash of the smallest id of the component) for every row."""
     rows, classes = shingle_sets(df, shingle_hashes, fingerprint, k, id_col, text_col)
-    nodes = rows.select("node", "size", "bits").dropDuplicates(["node"])
+    nodes = rows.select("node", "size", "bits", "odd").dropDuplicates(["node"])
     met = postings(df, rows, classes, shingle_hashes, k, least, text_col)
     check = lambda found: checked(found, df, rows, shingle_hashes, k, least, id_col, text_col)
     found = cut_lineage(candidates(met.withColumn("root", F.col("node")), nodes, least, True))
