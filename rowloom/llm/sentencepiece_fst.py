@@ -272,6 +272,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=missing)
             extra = [pa.array([None if t is None else fst.decode(x.tolist()) == t for t, x in zip(texts, made, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, ids, *(extra if check else [])], names=names)
+        fst.remembered.older = {}  # the worker lives on, beside those of later stages
 
     fields = [*df.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False))]
     if check:
