@@ -21,7 +21,7 @@ def time_nanos(text: Column) -> Column:
     h, m = hours.try_cast("long"), _part(rest, 1, 2)
     s, fraction = F.coalesce(_part(rest, 4, 2), F.lit(0).cast("long")), F.rpad(F.substring(rest, 7, 9), 9, "0").try_cast("long")
     made = ((h * 60 + m) * 60 + s) * 1_000_000_000 + F.coalesce(fraction, F.lit(0))
-    return F.coalesce(F.when(text.rlike(f"^{_TIME}$") & (h < 24) & (m < 60) & (s < 60), made), F.lit(0).cast("long"))
+    return F.coalesce(F.when(text.rlike(f"^{_TIME}\\z") & (h < 24) & (m < 60) & (s < 60), made), F.lit(0).cast("long"))
 
 
 def date_nanos(text: Column) -> Column:
@@ -31,14 +31,14 @@ def date_nanos(text: Column) -> Column:
     """
     digits = F.replace(text, F.lit("-"), F.lit(""))
     y, m, d = _part(digits, 1, 4), _part(digits, 5, 2), _part(digits, 7, 2)
-    ok = text.rlike(f"^{_DATE}$") & y.between(1970, 2099) & m.between(1, 12) & d.between(1, 31)
+    ok = text.rlike(f"^{_DATE}\\z") & y.between(1970, 2099) & m.between(1, 12) & d.between(1, 31)
     first = F.make_date(F.when(ok, y).cast("int"), F.when(ok, m).cast("int"), F.lit(1))
     return F.coalesce((F.unix_date(first) + d - 1).cast("long") * NANOS_A_DAY, F.lit(0).cast("long"))
 
 
 def datetime_nanos(text: Column) -> Column:
     """A date, then ``T`` or a space, then a time; a bad time keeps the date."""
-    day = F.regexp_extract(text, r"^(\d{4}-?\d{2}-?\d{2})(?:[T ].*)?$", 1)
+    day = F.regexp_extract(text, r"^(\d{4}-?\d{2}-?\d{2})(?:[T ].*)?\z", 1)
     date = date_nanos(day)
     return F.when(date == 0, F.lit(0).cast("long")).otherwise(date + time_nanos(F.substring(text, F.length(day) + 2, F.lit(40))))
 
@@ -56,8 +56,8 @@ def strptime_nanos(text: Column, pattern: str) -> Column:
             spark, i = spark + _DIRECTIVES[two], i + 2
         else:
             spark, i = spark + (f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]), i + 1
-    fraction = F.regexp_extract(text, r"\.(\d{1,9})$", 1)
-    whole = F.regexp_replace(text, r"\.\d{1,9}$", "")
+    fraction = F.regexp_extract(text, r"\.(\d{1,9})\z", 1)
+    whole = F.regexp_replace(text, r"\.\d{1,9}\z", "")
     # A zone of its own makes the result the same in any session's zone.
     seconds = F.unix_seconds(F.try_to_timestamp(F.concat(whole, F.lit(" +0000")), F.lit(spark + " xx")))
     return F.coalesce(seconds * 1_000_000_000 + F.coalesce(F.rpad(fraction, 9, "0").try_cast("long"), F.lit(0)), F.lit(0).cast("long"))

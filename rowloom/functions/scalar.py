@@ -20,8 +20,27 @@ def divide(x: Column, y: Column) -> Column:
     return F.when(y.isNull() | x.isNull(), None).when(y == 0, F.when(F.isnan(x), _NAN).otherwise(by_zero)).otherwise(x / F.when(y != 0, y))
 
 
-def floor_divide(x: Column, y: Column) -> Column:
-    """Integer division towards minus infinity; zero where the divisor is zero."""
+#: Beyond it every double is whole, and Spark's floor, which gives a BIGINT, would saturate in the end.
+_WHOLE = float(1 << 53)
+
+
+def floor(x: Column) -> Column:
+    """The floor as a double; NaN and infinities stay."""
+    return F.when(F.abs(x) < _WHOLE, F.floor(x).cast("double")).otherwise(x.cast("double"))
+
+
+def ceil(x: Column) -> Column:
+    return F.when(F.abs(x) < _WHOLE, F.ceil(x).cast("double")).otherwise(x.cast("double"))
+
+
+def floor_divide(x: Column, y: Column, floating: bool = False) -> Column:
+    """Division towards minus infinity.
+
+    Whole numbers give a BIGINT, zero where the divisor is zero; with ``floating`` it is the floor of the
+    IEEE quotient, a double.
+    """
+    if floating:
+        return floor(divide(x, y))
     q = F.when(y != 0, F.floor((x - F.pmod(x, F.abs(F.when(y != 0, y)))) / F.when(y != 0, y)))
     exact = F.floor(x.cast("double") / F.when(y != 0, y))
     return F.when(y == 0, F.lit(0)).when(x.isNull() | y.isNull(), None).otherwise(F.coalesce(F.when(y > 0, q), exact)).cast("long")
@@ -32,8 +51,17 @@ def modulo(x: Column, y: Column) -> Column:
     return x % F.when(y != 0, y)
 
 
-def remainder(x: Column, y: Column) -> Column:
-    """x - y * floor(x / y)."""
+def fmod(x: Column, y: Column) -> Column:
+    """The remainder of doubles with the sign of the dividend; NaN where the divisor is zero."""
+    x, y = x.cast("double"), y.cast("double")
+    return F.when(y == 0, F.when(x.isNotNull(), _NAN)).otherwise(x % F.when(y != 0, y))
+
+
+def remainder(x: Column, y: Column, floating: bool = False) -> Column:
+    """x - y * floor(x / y); a divisor of zero gives NULL, and NaN with ``floating``."""
+    if floating:
+        x, y = x.cast("double"), y.cast("double")
+        return F.when((y == 0) & x.isNotNull(), _NAN).otherwise(x - y * floor(divide(x, y)))
     y = F.when(y != 0, y)
     return x - y * F.floor(x / y)
 
@@ -76,7 +104,8 @@ def not_equal(x: Column, y: Column) -> Column:
 
 
 def truncate(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    """Towards zero, as a double; NaN and infinities stay."""
+    return F.when(x < 0, ceil(x)).otherwise(floor(x))
 
 
 def log(x: Column, base: str = "e") -> Column:

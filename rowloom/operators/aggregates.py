@@ -49,9 +49,9 @@ def median(x: Column) -> Column:
     return F.median(clean(x))
 
 
-def mode(x: Column) -> Column:
-    """The most frequent valid value, the smallest of equals."""
-    return F.mode(clean(x), True)
+def mode(x: Column, floating: bool = True) -> Column:
+    """The most frequent valid value, the smallest of equals; ``floating=False`` for text and other types without NaN."""
+    return F.mode(clean(x, floating), True)
 
 
 def quantile_midpoint(x: Column, q: float) -> Column:
@@ -67,9 +67,18 @@ def quantile_midpoint(x: Column, q: float) -> Column:
     return F.when(n > 0, (F.element_at(ordered, F.greatest(low, F.lit(1))) + F.element_at(ordered, F.greatest(high, F.lit(1)))) / 2)
 
 
+def _value_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """__n for each valid value of a group; invalid rows are one NULL with none, so every group is there."""
+    valid = df.select(*keys, clean(F.col(x)).alias(x))
+    return valid.groupBy(*keys, x).agg(F.count(x).alias("__n"))
+
+
 def quantile_midpoint_distributed(df: DataFrame, keys: list[str], x: str, q: float, name: str = "quantile") -> DataFrame:
-    """The same by rank instead of by list: pre-aggregated value counts, so a huge group never meets in one array."""
-    counts = df.filter(~invalid(F.col(x))).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+    """The same by rank instead of by list: pre-aggregated value counts, so a huge group never meets in one array.
+
+    A group without a valid value gets NULL.
+    """
+    counts = _value_counts(df, keys, x)
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("__to", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
     at = (F.col("__all") - 1) * F.lit(q)
@@ -108,20 +117,18 @@ def trim_limits(largest: int) -> list[int]:
 
 def trimmed_mean(df: DataFrame, keys: list[str], x: str, name: str = "trimmed") -> DataFrame:
     """Mean of the values between the k-th smallest and the k-th largest; NULL where n <= 2 k."""
-    valid = df.filter(~invalid(F.col(x)))
-    counts = valid.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+    counts = _value_counts(df, keys, x)
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("__to", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
     # The rule is computed once, up to the largest group; its step table has a few entries per 10,000 rows.
-    largest = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    largest = max(1, counts.groupBy(*keys).agg(F.sum("__n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0])
     k = F.size(F.filter(F.array(*[F.lit(v) for v in trim_limits(largest)]), lambda v: v < F.col("__all")))
     ranked = ranked.withColumn("__k", k)
     # Ties of the bounds are kept: a value counts if any of its copies lies inside.
     inside = (F.col("__to") > F.col("__k")) & (F.col("__to") - F.col("__n") < F.col("__all") - F.col("__k"))
-    kept = F.when(inside & (F.col("__all") > 2 * F.col("__k")), F.col("__n"))
+    kept = F.when(inside & F.col(x).isNotNull() & (F.col("__all") > 2 * F.col("__k")), F.col("__n"))
     mean = F.sum(F.col(x) * kept) / F.sum(kept)
-    every = df.select(*keys).distinct()
-    return every.join(ranked.groupBy(*keys).agg(mean.alias(name)), keys, "left")
+    return ranked.groupBy(*keys).agg(mean.alias(name))
 
 
 def reduce_all(df: DataFrame, x: str, ddof: int = 1) -> DataFrame:

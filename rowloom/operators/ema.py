@@ -37,7 +37,7 @@ def _accumulate(df: DataFrame, keys: list[str], order_by: list[str], term: Colum
 
 
 def ema_decay(df: DataFrame, keys: list[str], order_by: list[str], x: str, time: str, rate: float, include: Column | None = None, name: str = "ema") -> DataFrame:
-    """e = x + e * exp(-rate * dt); rows outside the mask add nothing but decay."""
+    """e = x + e * exp(-rate * dt); rows outside the mask add nothing but decay.  Time must not go back within a group."""
     df, _ = _weights(df, keys, order_by, time, rate)
     term = F.coalesce(F.col(x).cast("double"), F.lit(0.0))
     if include is not None:
@@ -46,11 +46,18 @@ def ema_decay(df: DataFrame, keys: list[str], order_by: list[str], x: str, time:
 
 
 def ema_normal(df: DataFrame, keys: list[str], order_by: list[str], x: str, time: str, rate: float, name: str = "ema") -> DataFrame:
-    """e = x * (1 - w) + e * w with w = exp(-rate * dt); the first e is x."""
+    """e = x * (1 - w) + e * w with w = exp(-rate * dt); the first e is x.
+
+    Where time goes back, w is zero: e starts again from x there.
+    """
+    order = Window.partitionBy(*keys).orderBy(*order_by)
+    back = F.coalesce((F.col(time) < F.lag(time).over(order)).cast("long"), F.lit(0).cast("long"))
+    df = df.withColumn("__back", back).withColumn("__run", F.sum("__back").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*keys, "__run"]
     df, w = _weights(df, keys, order_by, time, rate)
     step = F.exp(-(F.col("__e") - F.lag("__e").over(w)))
     df = df.withColumn("__term", F.when(F.row_number().over(w) == 1, F.col(x).cast("double")).otherwise(F.col(x) * (1 - step)))
-    return _accumulate(df, keys, order_by, F.col("__term"), name).drop("__term")
+    return _accumulate(df, keys, order_by, F.col("__term"), name).drop("__term", "__run", "__back")
 
 
 def ema_weighted(df: DataFrame, keys: list[str], order_by: list[str], x: str, weight: float, name: str = "ema") -> DataFrame:

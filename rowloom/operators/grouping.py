@@ -73,3 +73,15 @@ def combine_bins(a: Column, b: Column, multiplier: int, highest: int, keep: Colu
 def remap(df: DataFrame, key: str, mapping: DataFrame, name: str) -> DataFrame:
     """``df`` with the key's entry in ``mapping`` (columns code, new); 0 where there is none."""
     return df.join(mapping, F.col(key) == F.col("code"), "left").drop("code").withColumn(name, F.coalesce("new", F.lit(0))).drop("new")
+
+
+def combine_filter(df: DataFrame, bin_col: str, row: str, keep: Column, name: str = "bin") -> tuple[DataFrame, DataFrame]:
+    """The rows with new numbers for the bins that survive a filter, and the new bins' first rows and counts.
+
+    Bins are numbered from 1 by their first row that is kept; rows that the filter or bin 0 leaves out get 0.
+    """
+    alive = F.coalesce(keep & (F.col(bin_col) > 0), F.lit(False))
+    numbered = group_ids(df, [bin_col], row, alive, "__new").drop("first_row")
+    numbered = numbered.withColumn(name, F.when(alive, F.col("__new")).otherwise(F.lit(0).cast("long"))).drop("__new")
+    bins = numbered.filter(F.col(name) > 0).groupBy(name).agg(F.min(row).alias("first_row"), F.count(F.lit(1)).alias("count"))
+    return numbered, bins

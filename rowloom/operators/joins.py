@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.functions.nulls import invalid
+
 
 def is_member(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], position: str, null_safe: bool = False) -> DataFrame:
     """``left`` with ``found`` and ``position`` of the first match in ``right``.
@@ -40,14 +42,15 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right
     Ties take the last right row backward and the first forward.  Invalid left values match nothing,
     invalid right values are left out.
     """
-    lhs = left.select(*keys, F.col(left_on).alias("__v"), F.lit(None).cast(right.schema[right_id].dataType).alias("__rid"), F.col(left_id).alias("__lid"), F.lit(1).alias("__left"))
-    rhs = right.filter(F.col(right_on).isNotNull()).select(
-        *keys, F.col(right_on).alias("__v"), F.col(right_id).alias("__rid"), F.lit(None).cast(left.schema[left_id].dataType).alias("__lid"), F.lit(0).alias("__left"))
+    wrong = lambda df, c: invalid(F.col(c), df.schema[c].dataType.simpleString() in ("double", "float"))
+    lhs = left.select(*keys, F.col(left_on).alias("__v"), F.lit(None).cast(right.schema[right_id].dataType).alias("__rid"), F.col(left_id).alias("__lid"), F.lit(1).alias("__left"), wrong(left, left_on).alias("__bad"))
+    rhs = right.filter(~wrong(right, right_on)).select(
+        *keys, F.col(right_on).alias("__v"), F.col(right_id).alias("__rid"), F.lit(None).cast(left.schema[left_id].dataType).alias("__lid"), F.lit(0).alias("__left"), F.lit(False).alias("__bad"))
     side = F.col("__left") if exact else -F.col("__left")
     v, rid = (F.col("__v").desc(), F.col("__rid").desc()) if forward else (F.col("__v"), F.col("__rid"))
     w = Window.partitionBy(*keys).orderBy(v, side, rid).rowsBetween(Window.unboundedPreceding, 0)
     met = lhs.unionByName(rhs).withColumn(name, F.last("__rid", ignorenulls=True).over(w)).filter("__left = 1")
-    return met.select(*keys, F.col("__lid").alias(left_id), F.when(F.col("__v").isNotNull(), F.col(name)).alias(name))
+    return met.select(*keys, F.col("__lid").alias(left_id), F.when(~F.col("__bad"), F.col(name)).alias(name))
 
 
 def semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rowloom.functions.nulls import clean
+from rowloom.functions.nulls import clean, invalid
 from rowloom.operators.ordered import windowed
 
 
@@ -92,7 +92,8 @@ def shift_rows(df: DataFrame, order_by: list[str], names: list[str], n: int) ->
 
 
 def is_sorted(df: DataFrame, order_by: list[str], x: str) -> DataFrame:
-    """One row: whether ``x`` ascends in the row order, NaN being allowed at the end only."""
-    rows = windowed(df, order_by, 1, lambda w: {"__before": F.lag(x).over(w)})
-    fine = F.col("__before").isNull() | (F.col(x) >= F.col("__before"))
+    """One row: whether ``x`` ascends in the row order, NaN and NULL being allowed at the end only."""
+    bad = invalid(F.col(x), df.schema[x].dataType.simpleString() in ("double", "float"))
+    rows = windowed(df.withColumn("__bad", bad), order_by, 1, lambda w: {"__before": F.lag(x).over(w), "__worse": F.lag("__bad").over(w)})
+    fine = F.when(F.col("__worse").isNull() | F.col("__bad"), True).when(F.col("__worse"), False).otherwise(F.col(x) >= F.col("__before"))
     return rows.agg(F.coalesce(F.bool_and(fine), F.lit(True)).alias("is_sorted"))

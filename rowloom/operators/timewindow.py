@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 def time_window(df: DataFrame, keys: list[str], time: str, row: str, x: str, delta: int, kind: str = "sum", name: str = "window") -> DataFrame:
     """Over the row itself and all earlier rows at most ``delta`` back; ties in time count by row order.
 
-    A range frame would also hold later rows of the same time, so these are taken off again: from the sum by
-    subtraction, from the product by dividing logarithms apart from signs and zeros.
+    ``time`` and ``delta`` are whole numbers.  The window is made of two frames, the rows of earlier times and those of the same time
+    up to the row, so nothing is subtracted: later rows of the same time don't enter, and a product of whole numbers is exact up to 2^53.
     """
-    back = Window.partitionBy(*keys).orderBy(time).rangeBetween(-delta, 0)
-    later = Window.partitionBy(*keys, time).orderBy(row).rowsBetween(1, Window.unboundedFollowing)
-    c = F.col(x)
-    if kind == "sum":
-        return df.withColumn(name, F.sum(c).over(back) - F.coalesce(F.sum(c).over(later), F.lit(0)))
-    magnitude = F.when(c != 0, F.ln(F.abs(c))).otherwise(0.0)
-    minus = lambda v: F.sum(v).over(back) - F.coalesce(F.sum(v).over(later), F.lit(0))
-    zeros, negatives = minus((c == 0).cast("int")), minus((c < 0).cast("int"))
-    sign = F.when(negatives % 2 == 1, -1.0).otherwise(1.0)
-    return df.withColumn(name, F.when(zeros > 0, 0.0).otherwise(sign * F.exp(minus(magnitude))))
+    before = Window.partitionBy(*keys).orderBy(time).rangeBetween(-delta, -1)
+    tied = Window.partitionBy(*keys, time).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    made = (F.sum if kind == "sum" else F.product)(F.col(x))
+    first, second = made.over(before), made.over(tied)
+    both = first + second if kind == "sum" else first * second
+    return df.withColumn(name, F.when(first.isNull(), second).when(second.isNull(), first).otherwise(both))

@@ -61,7 +61,7 @@ def elementwise_unary(spark, sf):
     x = F.col("c_acctbal")
     finite = lambda c: F.round(F.when(scalar.is_finite(c), c), 6)
     return table(spark, sf, "customer").select(
-        "c_custkey", F.abs(x).alias("a"), (-x).alias("neg"), F.signum(x).alias("sgn"), F.floor(x).cast("double").alias("fl"), F.ceil(x).cast("double").alias("ce"),
+        "c_custkey", F.abs(x).alias("a"), (-x).alias("neg"), F.signum(x).alias("sgn"), scalar.floor(x).alias("fl"), scalar.ceil(x).alias("ce"),
         scalar.truncate(x).alias("tr"), F.rint(x).alias("ri"), F.round(F.sqrt(F.abs(x)), 6).alias("sq"), F.round(F.cbrt(x), 6).alias("cb"),
         finite(scalar.log(x)).alias("ln"), finite(scalar.log(x, "10")).alias("l10"), finite(scalar.log(x, "2")).alias("l2"), (~scalar.is_finite(scalar.log(x))).alias("ln_is_not_finite"),
         F.round(F.exp(x / 10000), 8).alias("ex"), F.round(F.pow(F.lit(2.0), x / 10000), 8).alias("ex2"), F.round(F.sin(x), 6).alias("si"), scalar.sign_bit(x).alias("sb"))
@@ -158,12 +158,12 @@ def is_member_categorical(spark, sf):
 
 
 @query("""
-SELECT o.o_orderkey, (SELECT max(p_partkey) FROM part WHERE p_size = o.o_orderkey % 50 AND p_retailprice = (
-         SELECT max(p_retailprice) FROM part WHERE p_size = o.o_orderkey % 50 AND p_retailprice <= o.o_totalprice / 100)) AS match
-FROM orders o WHERE o_orderkey % 5 = 0
+WITH p AS (SELECT p_size, p_retailprice, max(p_partkey) AS last FROM part GROUP BY 1, 2)
+SELECT o_orderkey, last AS match FROM (SELECT o_orderkey, o_orderkey % 50 AS bin, o_totalprice / 100 AS v FROM orders) o
+ASOF LEFT JOIN p ON o.bin = p.p_size AND o.v >= p.p_retailprice
 """)
 def merge_binned_sorted(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(
+    o = table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_orderkey") % 50).cast("int").alias("bin"), (F.col("o_totalprice") / 100).alias("v"))
     p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("bin"), F.col("p_retailprice").alias("v"))
     return joins.asof(o, p, ["bin"], "v", "v", "o_orderkey", "p_partkey").select("o_orderkey", "match")
@@ -360,3 +360,44 @@ def batch_windowed_sums(spark, sf):
     """The windows of the streaming form over a table, where a watermark does nothing."""
     e = table(spark, sf, "events")
     return running.windowed_sums(e, "ts", "value", ["event_type"], "6 hours", "1 hour").withColumn("total", F.round("total", 4))
+
+
+_SPECIAL = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN -1e300 WHEN 3 THEN NULL ELSE value - 50.5 END AS x,
+       CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN -2.5 ELSE 4.0 END AS y FROM events"""
+_KIND = "CASE WHEN {0} IS NULL THEN 'null' WHEN isnan({0}) THEN 'nan' WHEN abs({0}) = 'Infinity'::DOUBLE THEN 'inf' WHEN abs({0}) > 1e15 THEN 'large' ELSE 'plain' END AS {0}_kind"
+
+
+@query(f"""
+WITH s AS ({_SPECIAL}), d AS (SELECT event_id, floor(x) AS fl, ceil(x) AS ce, trunc(x) AS tr,
+  CASE WHEN x IS NULL THEN NULL WHEN y <> 0 THEN floor(x / y) WHEN isnan(x) OR x = 0 THEN 'NaN'::DOUBLE WHEN x > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS fd FROM s)
+SELECT event_id, {_KIND.format("fl")}, {_KIND.format("ce")}, {_KIND.format("tr")}, {_KIND.format("fd")},
+  CASE WHEN abs(fl) < 1e15 THEN fl END AS fl, CASE WHEN abs(ce) < 1e15 THEN ce + 0.0 END AS ce, CASE WHEN abs(tr) < 1e15 THEN tr + 0.0 END AS tr, CASE WHEN abs(fd) < 1e15 THEN fd END AS fd FROM d
+""")
+def rounding_of_special_values(spark, sf):
+    e = table(spark, sf, "events")
+    x = F.expr("CASE event_id % 7 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN -1e300 WHEN 3 THEN NULL ELSE value - 50.5 END")
+    y = F.expr("CASE event_id % 5 WHEN 0 THEN double(0) WHEN 1 THEN double(-2.5) ELSE double(4) END")
+    d = e.select("event_id", x.alias("x"), y.alias("y"))
+    d = d.select("event_id", scalar.floor(F.col("x")).alias("fl"), scalar.ceil(F.col("x")).alias("ce"), scalar.truncate(F.col("x")).alias("tr"),
+                 scalar.floor_divide(F.col("x"), F.col("y"), floating=True).alias("fd"))
+
+    def kind(c):
+        v = F.col(c)
+        return F.when(v.isNull(), "null").when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), "inf").when(F.abs(v) > 1e15, "large").otherwise("plain").alias(f"{c}_kind")
+
+    plain = [F.when(F.abs(c) < 1e15, F.col(c) + 0.0).alias(c) for c in ("fl", "ce", "tr", "fd")]
+    return d.select("event_id", *[kind(c) for c in ("fl", "ce", "tr", "fd")], *plain)
+
+
+@query("""
+WITH l AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events WHERE event_type <> 'click'),
+r AS (SELECT user_id, value AS v, max(event_id) AS rid FROM events WHERE event_type = 'click' AND event_id % 4 <> 0 GROUP BY 1, 2)
+SELECT event_id, rid AS match FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.v >= r.v
+""")
+def asof_invalid_values(spark, sf):
+    """NaN on the left matches nothing, NaN on the right is left out."""
+    e = table(spark, sf, "events")
+    nan = F.lit(float("nan"))
+    left = e.filter("event_type <> 'click'").withColumn("v", F.when(F.col("event_id") % 5 == 0, nan).otherwise(F.col("value")))
+    right = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("rid"), F.when(F.col("event_id") % 4 == 0, nan).otherwise(F.col("value")).alias("v"))
+    return joins.asof(left, right, ["user_id"], "v", "v", "event_id", "rid").select("event_id", "match")

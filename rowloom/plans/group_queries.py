@@ -52,10 +52,10 @@ def group_agg_strict(spark, sf):
 @query(f"""
 SELECT user_id, CASE WHEN count(v) = count(*) THEN round(sum(v), 4) END AS s, CASE WHEN count(v) = count(*) THEN max(v) END AS hi,
        CASE WHEN count(v) = count(*) THEN round(var_samp(v), 4) END AS var
-FROM {GAPS} WHERE event_id % 7 <> 0 OR user_id % 2 = 0 GROUP BY 1
+FROM (SELECT user_id, CASE WHEN event_id % 7 = 0 AND user_id % 2 = 0 THEN NULL ELSE value END AS v FROM events) GROUP BY 1
 """)
 def group_agg_strict_gaps(spark, sf):
-    e = _gaps(spark, sf).filter("event_id % 7 <> 0 OR user_id % 2 = 0")
+    e = table(spark, sf, "events").withColumn("v", F.expr("CASE WHEN event_id % 7 = 0 AND user_id % 2 = 0 THEN NULL ELSE value END"))
     v = F.col("v")
     return agg.group_aggregate(e, ["user_id"], {"s": F.round(agg.aggregate("sum", v), 4), "hi": agg.aggregate("max", v), "var": F.round(agg.aggregate("var", v), 4)})
 
@@ -232,3 +232,26 @@ def regroup_mapping(spark, sf):
 def running_group_count(spark, sf):
     packed = grouping.pack(table(spark, sf, "events"), ["user_id"], "event_id")
     return packed.select("event_id", F.col("place").cast("long").alias("running"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id % 20 AS b, value > 40 AND user_id % 20 > 0 AS alive FROM events),
+n AS (SELECT b, min(event_id) AS first_row, count(*) AS count, row_number() OVER (ORDER BY min(event_id)) AS bin FROM e WHERE alive GROUP BY b)
+SELECT event_id, CASE WHEN alive THEN bin ELSE 0 END AS bin, CASE WHEN alive THEN first_row END AS first_row, CASE WHEN alive THEN count END AS count
+FROM e LEFT JOIN n USING (b)
+""")
+def combine_filter(spark, sf):
+    e = table(spark, sf, "events").withColumn("b", F.col("user_id") % 20)
+    rows, bins = grouping.combine_filter(e, "b", "event_id", F.col("value") > 40)
+    return rows.join(bins, "bin", "left").select("event_id", "bin", "first_row", "count")
+
+
+@query("""
+WITH e AS (SELECT user_id % 9 AS g, CASE WHEN user_id % 3 = 0 THEN NULL ELSE value END AS v FROM events),
+r AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS i, count(v) OVER (PARTITION BY g) AS n FROM e WHERE v IS NOT NULL)
+SELECT g, q FROM (SELECT DISTINCT g FROM e) a LEFT JOIN (
+  SELECT g, (max(v) FILTER (i = floor((n - 1) * 0.3)) + max(v) FILTER (i = ceil((n - 1) * 0.3))) / 2 AS q FROM r GROUP BY 1) b USING (g)
+""")
+def group_quantile_empty_groups(spark, sf):
+    e = table(spark, sf, "events").withColumn("g", F.col("user_id") % 9).withColumn("v", F.when(F.col("user_id") % 3 != 0, F.col("value")))
+    return agg.quantile_midpoint_distributed(e, ["g"], "v", 0.3, "q")

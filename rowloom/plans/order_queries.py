@@ -227,13 +227,13 @@ def is_member(spark, sf):
 
 
 @query("""
-WITH h AS (SELECT o_orderpriority AS a, o_orderstatus AS b, min(o_orderkey) AS p FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+WITH h AS (SELECT o_orderpriority AS a, o_orderstatus AS b, min(o_orderkey) AS p FROM orders WHERE o_totalprice > 300000 GROUP BY 1, 2)
 SELECT o_orderkey, p IS NOT NULL AS found, p AS position FROM orders LEFT JOIN h ON a = o_orderpriority AND b = o_orderstatus
 """)
 def is_member_multikey(spark, sf):
     o = table(spark, sf, "orders")
     k = ["o_orderpriority", "o_orderstatus"]
-    return joins.is_member(o, o.filter("o_orderkey % 3 = 0"), k, k, "o_orderkey", null_safe=True).select("o_orderkey", "found", "position")
+    return joins.is_member(o, o.filter("o_totalprice > 300000"), k, k, "o_orderkey", null_safe=True).select("o_orderkey", "found", "position")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")

@@ -43,7 +43,7 @@ def test_reductions(spark):
 def test_midpoint_quantile_and_mode(spark):
     df = spark.createDataFrame([(1, v) for v in [10.0, 2.0, 1.0, 3.0, NAN, 2.0, 3.0]] + [(2, None)], "g int, x double")
     got = {r.g: r.quantile for r in aggregates.quantile_midpoint_distributed(df, ["g"], "x", 0.4).collect()}
-    assert got == {1: 2.0}
+    assert got == {1: 2.0, 2: None}
     four = spark.createDataFrame([(1, v) for v in [1.0, 2.0, 3.0, 10.0]], "g int, x double")
     assert aggregates.quantile_midpoint_distributed(four, ["g"], "x", 0.4).first().quantile == 2.5
     assert four.agg(aggregates.quantile_midpoint(F.col("x"), 0.4).alias("q")).first().q == 2.5
@@ -260,3 +260,45 @@ def test_rolling_forms(spark):
     assert made("quantile", 3, 0.5) == [1.0, 1.0, 2.0, 3.5]
     with pytest.raises(ValueError):
         rolling.rolling("sum", F.col("x"), w, 0)
+
+
+def test_special_values(spark):
+    from rowloom.functions import datetimes, scalar
+    from rowloom.operators import aggregates, ema, joins, rolling, timewindow
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, nan), (1, inf), (2, -inf), (3, 1e300), (4, -2.5), (5, None)], "i int, x double")
+    got = [r.t for r in df.orderBy("i").select(scalar.truncate(F.col("x")).alias("t")).collect()]
+    assert got[0] != got[0] and got[1:] == [inf, -inf, 1e300, -2.0, None]
+    half = df.orderBy("i").select(scalar.floor_divide(F.col("x"), F.lit(2.0), floating=True).alias("q")).collect()
+    assert half[0].q != half[0].q and [r.q for r in half[1:]] == [inf, -inf, 5e299, -2.0, None]
+    sides = [spark.createDataFrame([(1, v, i) for i, v in enumerate(vs)], "k int, v double, i int") for vs in ((nan, 2.0), (1.0, nan))]
+    for forward, want in ((False, {0: None, 1: 0}), (True, {0: None, 1: None})):
+        made = joins.asof(*sides, ["k"], "v", "v", "i", "i", forward).collect()
+        assert {r.i: r.match for r in made} == want
+    for values, want in (([5, None, 1], False), ([1, 5, None], True), ([None, None], True), ([], True)):
+        assert rolling.is_sorted(spark.createDataFrame(list(enumerate(values)), "i int, x int"), ["i"], "x").first()[0] is want
+    rows = spark.createDataFrame([("a", 0, 1, 3.0), ("a", 0, 2, nan), ("a", 1, 3, 7.0)], "g string, t long, r int, x double")
+    assert timewindow.time_window(rows, ["g"], "t", "r", "x", 0).orderBy("r").first().window == 3.0
+    rows = spark.createDataFrame([("a", t, t, v) for t, v in enumerate([3.0, 7.0, 11.0])], "g string, t long, r long, x double")
+    assert [r.window for r in timewindow.time_window(rows, ["g"], "t", "r", "x", 5, "prod").orderBy("r").collect()] == [3.0, 21.0, 231.0]
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, nan), (1, None)], "k int, x double")
+    assert {r.k: r["quantile"] for r in aggregates.quantile_midpoint_distributed(rows, ["k"], "x", 0.5).collect()} == {None: 2.0, 1: None}
+    assert {r.k: r.trimmed for r in aggregates.trimmed_mean(rows, ["k"], "x").collect()} == {None: 2.0, 1: None}
+    text = spark.createDataFrame([("b",), ("b",), ("a",), (None,)], "s string")
+    assert text.agg(aggregates.mode(F.col("s"), floating=False)).first()[0] == "b"
+    back = spark.createDataFrame([("a", 0, 5.0, 1.0), ("a", 1, 3.0, 2.0)], "g string, i int, t double, x double")
+    assert [r.ema for r in ema.ema_normal(back, ["g"], ["i"], "x", "t", 1.0).orderBy("i").collect()] == [1.0, 2.0]
+    assert spark.createDataFrame([("12:30\n",)], "s string").select(datetimes.time_nanos(F.col("s"))).first()[0] == 0
+
+
+def test_combine_filter(spark):
+    from rowloom.operators import grouping
+
+    def new(keys, keep):
+        df = spark.createDataFrame(list(zip(range(len(keys)), keys, keep)), "row int, k int, keep boolean")
+        rows, bins = grouping.combine_filter(df, "k", "row", F.col("keep"))
+        return [r.bin for r in rows.orderBy("row").collect()], {r.bin: (r.first_row, r["count"]) for r in bins.collect()}
+
+    assert new([0, 1, 2, 3, 4], [True, True, False, True, False]) == ([0, 1, 0, 2, 0], {1: (1, 1), 2: (3, 1)})
+    assert new([3] * 5, [True, True, False, True, False]) == ([1, 1, 0, 1, 0], {1: (0, 3)})
