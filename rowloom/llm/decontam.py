@@ -52,7 +52,8 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
 def find_matches(docs: DataFrame, items: DataFrame, n: int = 10, anchors: int = 2, keep_proximity: bool = True) -> DataFrame:
     """Matches of item windows in documents: doc, key, item, start, length, kind.
 
-    ``key`` is a hash of the document's text; ``kind`` is ``phrase`` or ``proximity``.
+    ``key`` is a hash of the document's text; ``kind`` is ``phrase`` or ``proximity``.  ``start`` is where the window would
+    begin if its rarest term kept its place, so it may lie before the text for a proximity match.
     """
     windows = cut_lineage(item_windows(items, n).distinct().withColumn("wid", F.xxhash64("win")))
     n_windows = windows.count()
@@ -85,12 +86,12 @@ def find_matches(docs: DataFrame, items: DataFrame, n: int = 10, anchors: int =
     adjusted = (
         postings.join(_small(anchor, n_windows), "term")
         .withColumn("start", F.col("pos") - F.col("off"))
-        .filter("start >= 0")
+        .filter(F.lit(True) if keep_proximity else F.col("start") >= 0)
         .withColumn("list", F.expr("shiftleft(1, rank - 1)"))
     )
     # The word at ``start`` within ``near``, which begins n - 1 words before the posting or at word 0.
     first = F.col("start") - F.greatest(F.col("pos") - (n - 1), F.lit(0))
-    phrase = F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("win")) == F.col("win")
+    phrase = (F.col("start") >= 0) & (F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("win")) == F.col("win"))
     together = F.size(F.array_except("win", "near")) == 0
     lead = adjusted.filter("rank = 1").withColumn(
         "kind", F.when(phrase, "phrase").when(together, "proximity") if keep_proximity else F.when(phrase, "phrase")

@@ -63,3 +63,10 @@ def test_empty_tables(spark):
     assert dc.contamination(docs.limit(0), items).count() == 0
     assert dc.contamination(docs, items.limit(0)).first().contaminated is False
     assert dc.contamination(docs, items).first().n_hit == 3
+
+
+def test_proximity_at_the_head_of_a_text(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    docs = [(1, " ".join(words[-1:] + words[:-1])), (2, " ".join(words)), (3, " ".join(words[:-1])), *((i, " ".join(words[:-1])) for i in range(4, 8))]
+    found = dc.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id long, text string"))
+    assert {(r.doc, r.kind) for r in found.collect()} == {(1, "proximity"), (2, "phrase")}
