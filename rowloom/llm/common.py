@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,15 +54,41 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def tidy(run):
-    """A function for ``mapInArrow`` that gives its memory back at the end: workers live on idle."""
+#: How to forget the tables that an operator keeps in a worker from task to task, by operator.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_between_tasks(owner: str, forget: Callable[[], None]) -> None:
+    _KEPT[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """A worker that turns to another operator gives up what the last one kept."""
+    others = [n for n in _KEPT if n != owner]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
+def tidy(run, owner: str = ""):
+    """A function for ``mapInArrow`` that gives its memory back at the end: workers live on idle.
+
+    ``owner`` names the operator whose kept tables the task needs; those of others go when it starts.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        forget_others(owner)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
-            trim(0)
+        give_back()
 
     return wrapped

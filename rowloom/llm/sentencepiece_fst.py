@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from rowloom.llm.common import table, tidy
+from rowloom.llm.common import keep_between_tasks, table, tidy
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -249,6 +249,7 @@ def _transducer(model: dict) -> Transducer:
     key = str(hash((model["bpe"], model["prefix"], tuple(model["pieces"]))))
     if key not in _COMPILED:
         _COMPILED[key] = Transducer(model)
+        keep_between_tasks("sentencepiece", _COMPILED.clear)
     return _COMPILED[key]
 
 
@@ -277,7 +278,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
     fields = [*df.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False))]
     if check:
         fields.append(StructField(check, BooleanType()))
-    return df.mapInArrow(tidy(run), StructType(fields))
+    return df.mapInArrow(tidy(run, "sentencepiece"), StructType(fields))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -293,7 +294,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: s
             texts = pa.array([None if x is None else fst.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=names)
 
-    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(text_col, StringType())]))
+    return df.mapInArrow(tidy(run, "sentencepiece"), StructType([*df.schema.fields, StructField(text_col, StringType())]))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
