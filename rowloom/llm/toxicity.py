@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after the other.  Each has a logistic regression over the words of a
-text, and a later one also sees the log-odds that the earlier ones give.  When the later model is
+text, and a later one also sees the probabilities that the earlier ones give.  When the later model is
 trained, those inputs are out-of-fold predictions: each labelled text is judged by models that were
 fitted without its fold, as every new text will be.  The labels at hand have two categories, so the chain
 is ``low_quality`` (quality 0), then ``toxic``.
@@ -50,6 +50,10 @@ def _features(text: str | None) -> bytes:
     return np.array(sorted(set().union(*map(word_features, words))), np.uint32).tobytes()
 
 
+def _probability(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-logit))
+
+
 class LinearModel:
     """L2-regularised logistic regression on selected binary features and some dense inputs.
 
@@ -105,7 +109,7 @@ class Chain:
         names, seen = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
         names = names[seen >= 4]  # rarer features are never kept
         sets = [np.searchsorted(names, s[np.isin(s, names, assume_unique=True)]).astype(np.int32) for s in sets]
-        fold, self.models, made = np.arange(n) % folds, [], np.zeros((n, 0))
+        fold, self.models, odds, made = np.arange(n) % folds, [], np.zeros((n, 0)), np.zeros((n, 0))
         for c in range(labels.shape[1]):
             y, out = labels[:, c].astype(float), np.zeros(n)
             for f in range(folds):
@@ -113,9 +117,9 @@ class Chain:
                 model = LinearModel([sets[i] for i in fit], names, made[fit], y[fit])
                 out[rest] = model.predict([sets[i] for i in rest], names, made[rest])
             self.models.append(LinearModel(sets, names, made, y))
-            made = np.column_stack([made, out])
-        self.out_of_fold = made
-        self.threshold = self._threshold(made[:, -1], labels[:, -1]) if n else 31.0
+            odds, made = np.column_stack([odds, out]), np.column_stack([made, _probability(out)])
+        self.out_of_fold = odds
+        self.threshold = self._threshold(odds[:, -1], labels[:, -1]) if n else 31.0
 
     @staticmethod
     def _threshold(logit: np.ndarray, y: np.ndarray) -> float:
@@ -134,7 +138,7 @@ class Chain:
     def logits(self, present) -> list[float]:
         made: list[float] = []
         for model in self.models:
-            made.append(model.logit(present, np.array(made)))
+            made.append(model.logit(present, _probability(np.array(made))))
         return made
 
 
@@ -152,13 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, low_quality int, toxic int, f binary"
     found = rows.withColumn("toxic", F.col("toxic").cast("int")).select("doc_id", "__text", "low_quality", "toxic").mapInArrow(tidy(run), schema)
-    kept = {}  # repeated rows of an id count once
-    for r in found.collect():
-        if r.doc_id not in kept or bytes(r.f) < kept[r.doc_id][0]:
-            kept[r.doc_id] = bytes(r.f), r.low_quality, int(r.toxic > 0)
-    ids = sorted(kept)
-    sets = [np.frombuffer(kept[i][0], np.uint32) for i in ids]
-    return Chain(sets, np.array([kept[i][1:] for i in ids], np.int64).reshape(-1, len(CATEGORIES)))
+    # Repeated rows of an id count once, so the driver gets ``sample`` rows at most.
+    once = found.groupBy("doc_id").agg(F.min("f").alias("f"), F.max("low_quality").alias("low_quality"), F.max("toxic").alias("toxic"))
+    rows = sorted(once.collect(), key=lambda r: r.doc_id)
+    sets = [np.frombuffer(bytes(r.f), np.uint32) for r in rows]
+    return Chain(sets, np.array([(r.low_quality, int(r.toxic > 0)) for r in rows], np.int64).reshape(-1, len(CATEGORIES)))
 
 
 class _Scorer:
@@ -194,7 +196,7 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "")
         limit = shared.value.threshold
         for b in batches:
             made = np.array([scorer.logits(t) for t in b.column(at).to_pylist()]).reshape(-1, len(CATEGORIES))
-            odds = [pa.array(1 / (1 + np.exp(-made[:, c]))) for c in range(len(CATEGORIES))]
+            odds = [pa.array(_probability(made[:, c])) for c in range(len(CATEGORIES))]
             yield pa.RecordBatch.from_arrays([*b.columns, *odds, pa.array(made[:, -1] >= limit)], names=names)
 
     fields = [StructField(c, BooleanType() if c == added[-1] else DoubleType()) for c in added]
