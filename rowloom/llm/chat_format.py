@@ -5,12 +5,13 @@ Grammar of the rendered text::
     conversation := turn*
     turn         := "<s>" role "[INST]" text "[/INST]</s>"
 
-The parser is deterministic: it splits at the closing string, then at the first ``[INST]``, and
-unescapes both parts.  Every turn is first rendered as it is and parsed again; where the parts that come
-back differ from the source, or hold a control string, the turn is rendered with its role and text
-escaped.  Escaping puts a backslash after each ``<``, ``[`` and backslash, so that no control string
-can remain; unescaping takes it out again.  The whole conversation is then parsed once more and
-``round_trip`` tells whether all turns came back.
+The parser is deterministic and strict: a turn is what the grammar allows, with no control string inside
+its role or text, both of which are unescaped, or it is refused.  Every turn is rendered as it is, parsed
+again and compared to its source.  While they differ, more of it is escaped: its text, its role instead,
+then both.  Escaping puts a backslash after each ``<``, ``[`` and backslash, so that no control string can
+remain, and unescaping takes it out again, so the last form always comes back.  A turn that comes back
+holds no closing string of its own, so turns in a row are cut where each one ends; still the whole
+conversation is parsed and compared once more, and ``round_trip`` tells whether all turns came back.
 
 Defined cases: a null text or role is empty; turns are in the order of ``turn``, nulls first, ties by
 role and text; repeated rows are turns of their own; a null conversation id is a conversation; an empty
@@ -27,6 +28,7 @@ from rowloom.llm.common import table
 
 START, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
+_TURN = r"(?s)\A<s>(.*?)\[INST\](.*)\[/INST\]</s>\z"
 
 
 def escape(text: Column) -> Column:
@@ -41,23 +43,34 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit(OPEN), text, F.lit(CLOSE + END))
 
 
-def _safe(part: Column) -> Column:
-    """The part as it is if the parser gives it back, else escaped."""
-    return F.when(part.rlike(_CONTROL) | (unescape(part) != part), escape(part)).otherwise(part)
+def _comes_back(role: Column, text: Column, shown_role: Column, shown_text: Column) -> Column:
+    """Whether the turn rendered from the shown parts is parsed to the source's."""
+    turn = parse_turn(_render(shown_role, shown_text))
+    return F.coalesce((turn["role"] == role) & (turn["text"] == text), F.lit(False))
 
 
-def parse(formatted: Column) -> Column:
-    """Turns of a rendered conversation: an array of (role, text)."""
-    pieces = F.filter(F.split(formatted, r"\[/INST\]</s>", -1), lambda p: p != "")
+def _shown(role: Column, text: Column) -> Column:
+    """(role, text) as they are rendered: the first of the four forms that comes back identical."""
+    made = None
+    for r, t in ((role, text), (role, escape(text)), (escape(role), text)):
+        form = F.struct(r.alias("role"), t.alias("text"))
+        met = _comes_back(role, text, r, t)
+        made = F.when(met, form) if made is None else made.when(met, form)
+    return made.otherwise(F.struct(escape(role).alias("role"), escape(text).alias("text")))
+
 
-    def turn(piece: Column) -> Column:
-        at = F.instr(piece, OPEN)
-        return F.struct(
-            unescape(F.substring(piece, F.lit(len(START) + 1), at - len(START) - 1)).alias("role"),
-            unescape(F.substring(piece, at + len(OPEN), F.length(piece))).alias("text"),
-        )
+def parse_turn(rendered: Column) -> Column:
+    """(role, text) of one rendered turn; NULL where the grammar refuses it."""
+    role = F.regexp_extract(rendered, _TURN, 1)
+    text = F.regexp_extract(rendered, _TURN, 2)
+    fine = rendered.rlike(_TURN) & ~role.rlike(_CONTROL) & ~text.rlike(_CONTROL)
+    return F.when(fine, F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
 
-    return F.transform(pieces, turn)
+
+def parse(formatted: Column) -> Column:
+    """Turns of a rendered conversation: an array of (role, text), NULL for a turn that the grammar refuses."""
+    pieces = F.filter(F.split(formatted, r"\[/INST\]</s>", -1), lambda p: p != "")
+    return F.transform(pieces, lambda p: parse_turn(F.concat(p, F.lit(CLOSE + END))))
 
 
 def format_chats(df: DataFrame, assistant: str = "assistant") -> DataFrame:
@@ -68,8 +81,8 @@ def format_chats(df: DataFrame, assistant: str = "assistant") -> DataFrame:
     """
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = df.select("conv_id", F.col("turn").alias("__turn"), part("role").alias("__role"), part("text").alias("__text"))
-    rows = rows.withColumn("__r", _safe(F.col("__role"))).withColumn("__t", _safe(F.col("__text")))
-    rows = rows.withColumn("__piece", _render(F.col("__r"), F.col("__t")))
+    rows = rows.withColumn("__shown", _shown(F.col("__role"), F.col("__text"))).withColumn("__t", F.col("__shown.text"))
+    rows = rows.withColumn("__piece", _render(F.col("__shown.role"), F.col("__t")))
     order = Window.partitionBy("conv_id").orderBy("__turn", "__role", "__text")
     rows = rows.withColumn("__rn", F.row_number().over(order))
     rows = rows.withColumn("__end", F.sum(F.length("__piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
