@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from rowloom.llm.bloom import flag_repeated, repeated_filter
 from rowloom.llm.common import SPACE, cut_lineage, table
 
-#: 2 ** 26 slots: the filter has 8 MB at most.
-LOG2_SLOTS, HASHES = 26, 2
+#: The filter has 16 slots or more a row, so a row without a copy is suspected in some 1 % of the cases, up to
+#: 2 ** 30 slots: 128 MB, the bound on what is broadcast.  Beyond 67 million rows the share of suspects grows.
+SLOTS_A_ROW, MOST_LOG2_SLOTS, HASHES = 16, 30, 2
 
 
 def normalised(text: Column) -> Column:
@@ -32,24 +33,33 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _split(df: DataFrame, text_col: str, log2_slots: int, hashes: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that are alone for certain, and rows that may have a copy; both with ``__sha``."""
-    keyed = df.withColumn("__sha", digest(F.col(text_col)))
-    bitmaps = repeated_filter(keyed.select("__sha"), "__sha", log2_slots, hashes)
-    flagged = flag_repeated(keyed, "__sha", bitmaps, log2_slots, hashes, "__maybe")
+def filter_size(rows: int) -> int:
+    """Base-2 logarithm of the filter's slots for a counted number of rows."""
+    return min(MOST_LOG2_SLOTS, max(16, (SLOTS_A_ROW * rows - 1).bit_length()))
+
+
+def _split(keyed: DataFrame, log2_slots: int | None, hashes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that are alone for certain, and rows that may have a copy, of rows with ``__sha``.
+
+    The filter is written once, so both parts use it without making it again.
+    """
+    size = log2_slots if log2_slots is not None else filter_size(keyed.count())
+    bitmaps = cut_lineage(repeated_filter(keyed.select("__sha"), "__sha", size, hashes))
+    flagged = flag_repeated(keyed, "__sha", bitmaps, size, hashes, "__maybe")
     return flagged.filter(~F.col("__maybe")).drop("__maybe"), flagged.filter("__maybe").drop("__maybe")
 
 
 def mark_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_slots: int = LOG2_SLOTS, hashes: int = HASHES
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_slots: int | None = None, hashes: int = HASHES
 ) -> DataFrame:
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
+    The texts are read once: ids and digests are written, and all later passes work on those.
     Copies are pre-aggregated by (digest, id) before digests meet, so a digest that a third of all
     rows share arrives as partial counts.
     """
-    slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    alone, maybe = _split(slim, "__text", log2_slots, hashes)
+    slim = cut_lineage(df.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("__sha")))
+    alone, maybe = _split(slim, log2_slots, hashes)
     # Both sides of the join are tables, so adaptive execution can split the rows of a hot digest.
     rows = cut_lineage(maybe.groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("__n")))
     groups = cut_lineage(rows.groupBy("__sha").agg(F.min("__id").alias("__keep"), F.sum("__n").alias("__size")))
@@ -64,10 +74,10 @@ def mark_duplicates(
 
 
 def drop_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_slots: int = LOG2_SLOTS, hashes: int = HASHES
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_slots: int | None = None, hashes: int = HASHES
 ) -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``."""
-    alone, maybe = _split(df, text_col, log2_slots, hashes)
+    alone, maybe = _split(df.withColumn("__sha", digest(F.col(text_col))), log2_slots, hashes)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(text_col)))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     kept = maybe.groupBy("__sha").agg(F.min_by(row, order).alias("__row"))
