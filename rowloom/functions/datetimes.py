@@ -44,16 +44,24 @@ def datetime_nanos(text: Column) -> Column:
 
 
 #: strptime directives and the Spark patterns that read the same (fixed values).
-_DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%j": "DDD"}
+_DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%j": "DDD",
+               "%e": "d", "%h": "MMM", "%I": "hh", "%p": "a", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy"}
 
 
 def strptime_nanos(text: Column, pattern: str) -> Column:
-    """Text by a strptime pattern, with an optional fraction of seconds after it; 0 if it fails."""
+    """Text by a strptime pattern, with an optional fraction of seconds after it; 0 if it fails.
+
+    A directive outside ``_DIRECTIVES`` raises ValueError when the column is made.
+    """
     spark, i = "", 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two in _DIRECTIVES:
             spark, i = spark + _DIRECTIVES[two], i + 2
+        elif two == "%%":
+            spark, i = spark + "%", i + 2
+        elif two[0] == "%":
+            raise ValueError(f"unknown directive {two}")
         else:
             spark, i = spark + (f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]), i + 1
     fraction = F.regexp_extract(text, r"\.(\d{1,9})\z", 1)

@@ -67,6 +67,17 @@ def quantile_midpoint(x: Column, q: float) -> Column:
     return F.when(n > 0, (F.element_at(ordered, F.greatest(low, F.lit(1))) + F.element_at(ordered, F.greatest(high, F.lit(1)))) / 2)
 
 
+def mode_distributed(df: DataFrame, keys: list[str], x: str, name: str = "mode", floating: bool = True) -> DataFrame:
+    """The same from pre-aggregated value counts, so a group's values never meet in one buffer; NULL for a group without any."""
+    counts = df.select(*keys, clean(F.col(x), floating).alias(x)).groupBy(*keys, x).agg(F.count(x).alias("__n"))
+    return counts.groupBy(*keys).agg(F.min_by(x, F.when(F.col(x).isNotNull(), F.struct(-F.col("__n"), x))).alias(name))
+
+
+def median_distributed(df: DataFrame, keys: list[str], x: str, name: str = "median") -> DataFrame:
+    """The median by rank over pre-aggregated value counts."""
+    return quantile_midpoint_distributed(df, keys, x, 0.5, name)
+
+
 def _value_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """__n for each valid value of a group; invalid rows are one NULL with none, so every group is there."""
     valid = df.select(*keys, clean(F.col(x)).alias(x))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.operators.ordered import with_position
+from rowloom.operators.ordered import BLOCK, with_position
 
 
-def group_ids(df: DataFrame, keys: list[str], row: str, keep: Column | None = None, name: str = "group_id", start: int = 1) -> DataFrame:
+def group_ids(
+    df: DataFrame, keys: list[str], row: str, keep: Column | None = None, name: str = "group_id", start: int = 1, parts: list[str] | None = None
+) -> DataFrame:
     """``df`` with the id of each row's group, counted from ``start`` by first occurrence; filtered rows get 0.
 
-    Ids are made on the distinct keys, through range partitions of the first rows, and joined back.
+    Ids are made on the distinct keys, through range partitions of the first rows, and joined back.  With
+    ``parts`` each part of the table is grouped on its own: ids and first rows start again in each.
     """
+    keys = [*(parts or []), *keys]
     kept = df if keep is None else df.filter(keep)
     firsts = kept.groupBy(*keys).agg(F.min(row).alias("first_row"))
-    numbered = with_position(firsts, ["first_row"], "__n").select(*[F.col(k).alias(f"__{k}") for k in keys], "first_row", (F.col("__n") + start).alias(name))
+    if parts:
+        placed = firsts.withColumn("__n", F.row_number().over(Window.partitionBy(*parts).orderBy("first_row")).cast("long") - 1)
+    else:
+        placed = with_position(firsts, ["first_row"], "__n")
+    numbered = placed.select(*[F.col(k).alias(f"__{k}") for k in keys], "first_row", (F.col("__n") + start).alias(name))
     met = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -23,14 +31,16 @@ def group_ids(df: DataFrame, keys: list[str], row: str, keep: Column | None = No
     return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def sorted_group_ids(df: DataFrame, keys: list[str], name: str = "group_id") -> DataFrame:
-    """Ids in the order of the keys."""
-    distinct = with_position(df.select(*keys).distinct(), keys, "__n")
-    numbered = distinct.select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__n") + 1).alias(name))
-    met = F.lit(True)
+def sorted_group_ids(df: DataFrame, keys: list[str], name: str = "group_id", keep: Column | None = None, start: int = 1) -> DataFrame:
+    """Ids in the order of the keys, counted from ``start``; filtered rows get 0."""
+    kept = df if keep is None else df.filter(keep)
+    distinct = with_position(kept.select(*keys).distinct(), keys, "__n")
+    numbered = distinct.select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__n") + start).alias(name))
+    met = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return df.join(numbered, met).drop(*[f"__{k}" for k in keys])
+    joined = df.join(numbered, met, "left").drop(*[f"__{k}" for k in keys])
+    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def unique_rows(df: DataFrame, keys: list[str], row: str) -> DataFrame:
@@ -45,12 +55,19 @@ def neighbours(df: DataFrame, keys: list[str], row: str) -> DataFrame:
 
 
 def bin_count(df: DataFrame, key: str, bins: int) -> DataFrame:
-    """Rows in each of the bins 0 to ``bins``, empty ones too, and where each starts when packed."""
+    """Rows in each of the bins 0 to ``bins``, empty ones too, and where each starts when packed.
+
+    Starts are running sums inside blocks of ``BLOCK`` bins, shifted by the totals of the blocks before.
+    """
     counts = df.groupBy(F.col(key).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins + 1).withColumnRenamed("id", "bin")
     filled = every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row per bin
-    return filled.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    filled = filled.withColumn("__block", F.floor(F.col("bin") / BLOCK))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    blocks = filled.groupBy("__block").agg(F.sum("n").alias("n"))  # one row per 100,000 bins
+    offsets = blocks.select("__block", before(Window.orderBy("__block")).alias("__offset"))
+    inside = filled.withColumn("__inside", before(Window.partitionBy("__block").orderBy("bin")))
+    return inside.join(offsets, "__block").select("bin", "n", (F.col("__inside") + F.col("__offset")).alias("first"))
 
 
 def pack(df: DataFrame, keys: list[str], row: str) -> DataFrame:
@@ -85,3 +102,15 @@ def combine_filter(df: DataFrame, bin_col: str, row: str, keep: Column, name: st
     numbered = numbered.withColumn(name, F.when(alive, F.col("__new")).otherwise(F.lit(0).cast("long"))).drop("__new")
     bins = numbered.filter(F.col(name) > 0).groupBy(name).agg(F.min(row).alias("first_row"), F.count(F.lit(1)).alias("count"))
     return numbered, bins
+
+
+def merge_codes(df: DataFrame, categories: DataFrame, part: str, code: str, label: str, name: str = "merged") -> DataFrame:
+    """The category codes of stacked parts (files) as codes of one common list.
+
+    ``categories`` has the (part, code, label) of every part.  Labels are numbered from 1 by their first
+    occurrence in the order of parts and codes; a code that its part doesn't list becomes 0.
+    """
+    listed = categories.select(part, code, label).withColumn("__at", F.struct(part, code))
+    numbered = group_ids(listed, [label], "__at", name="__new").select(F.col(part).alias("__part"), F.col(code).alias("__code"), "__new")
+    joined = df.join(numbered, (F.col(part) == F.col("__part")) & (F.col(code) == F.col("__code")), "left")
+    return joined.withColumn(name, F.coalesce("__new", F.lit(0).cast("long"))).drop("__part", "__code", "__new")

@@ -90,7 +90,7 @@ def group_first_last_nth(spark, sf):
 
 @query(f"SELECT event_type, median(v) AS med FROM {GAPS} GROUP BY 1")
 def group_median(spark, sf):
-    return agg.group_aggregate(_gaps(spark, sf), ["event_type"], {"med": agg.median(F.col("v"))})
+    return agg.median_distributed(_gaps(spark, sf), ["event_type"], "v", "med")
 
 
 @query("""
@@ -99,7 +99,7 @@ SELECT l_shipdate::DATE AS ship, (SELECT 1) AS one, q AS mode_qty FROM (
   FROM lineitem GROUP BY 1, 2) WHERE i = 1
 """)
 def group_mode(spark, sf):
-    made = agg.group_aggregate(table(spark, sf, "lineitem"), ["l_shipdate"], {"mode_qty": agg.mode(F.col("l_quantity"))})
+    made = agg.mode_distributed(table(spark, sf, "lineitem"), ["l_shipdate"], "l_quantity", "mode_qty")
     return made.select(F.col("l_shipdate").cast("date").alias("ship"), F.lit(1).alias("one"), "mode_qty")
 
 
@@ -197,6 +197,33 @@ def bin_count_pack(spark, sf):
     return grouping.bin_count(e, "b", 45)
 
 
+@query("""
+WITH f AS (SELECT event_id % 5 AS part, user_id, min(event_id) AS first_row FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY first_row) AS group_id FROM f)
+SELECT event_id, group_id, first_row FROM events JOIN n ON part = event_id % 5 AND n.user_id = events.user_id
+""")
+def group_ids_in_parts(spark, sf):
+    e = table(spark, sf, "events").withColumn("part", F.col("event_id") % 5)
+    return grouping.group_ids(e, ["user_id"], "event_id", parts=["part"]).select("event_id", "group_id", "first_row")
+
+
+@query("""
+WITH c AS (SELECT part, label, row_number() OVER (PARTITION BY part ORDER BY CASE WHEN part = 0 THEN label END, label DESC) AS code
+           FROM (SELECT DISTINCT event_id % 3 AS part, event_type AS label FROM events WHERE event_id % 3 > 0 OR event_type > 'c')),
+n AS (SELECT label, row_number() OVER (ORDER BY min((part, code))) AS merged FROM c GROUP BY 1)
+SELECT event_id, coalesce(merged, 0) AS merged FROM events LEFT JOIN n
+  ON label = event_type AND event_id % 50 <> 0 AND (event_id % 3 > 0 OR event_type > 'c')
+""")
+def stacked_codes_merged(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("part"))
+    listed = e.filter("part > 0 OR event_type > 'c'").select("part", F.col("event_type").alias("label")).distinct()
+    code = F.expr("row_number() OVER (PARTITION BY part ORDER BY CASE WHEN part = 0 THEN label END, label DESC)")
+    listed = listed.withColumn("code", code)
+    own = e.join(listed.select(F.col("part").alias("p"), "label", "code"), (F.col("part") == F.col("p")) & (F.col("event_type") == F.col("label")), "left")
+    rows = own.select("event_id", "part", F.when(F.col("event_id") % 50 != 0, F.col("code")).alias("code"))  # others are in no list
+    return grouping.merge_codes(rows, listed, "part", "code", "label").select("event_id", "merged")
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events")
 def group_pack(spark, sf):
     return grouping.pack(table(spark, sf, "events"), ["user_id"], "event_id").select("event_id", F.col("place").cast("long").alias("place"))

@@ -354,6 +354,22 @@ def interp_clip(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(interp.interpolate(F.col("p_retailprice"), _XS, _YS, True), 6).alias("y"))
 
 
+@query("""
+WITH k AS (SELECT p_partkey, p_retailprice AS x, 900.0 + p_size AS x0, 1100.0 + p_size AS x1, 1500.0 + p_size AS x2, p_size * 1.0 AS y0, 2.0 AS y1, p_size * 3.0 AS y2 FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN
+  round(CASE WHEN x <= x1 THEN y0 + (x - x0) * (y1 - y0) / 200.0 ELSE y1 + (x - x1) * (y2 - y1) / 400.0 END, 6) END AS y,
+  CASE WHEN p_partkey % 11 <> 0 THEN
+  round(CASE WHEN x <= x0 THEN y0 WHEN x >= x2 THEN y2 WHEN x <= x1 THEN y0 + (x - x0) * (y1 - y0) / 200.0 ELSE y1 + (x - x1) * (y2 - y1) / 400.0 END, 6) END AS y_clip
+FROM k
+""")
+def interp_row_tables(spark, sf):
+    size = F.col("p_size").cast("double")
+    xs = F.when(F.col("p_partkey") % 11 != 0, F.array(size + 900, size + 1100, size + 1500))
+    ys, x = F.array(size, F.lit(2.0), size * 3), F.col("p_retailprice")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.round(interp.interpolate_rows(x, xs, ys), 6).alias("y"), F.round(interp.interpolate_rows(x, xs, ys, True), 6).alias("y_clip"))
+
+
 @query(_line_sql(False))
 def interp_extrap(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(interp.interpolate(F.col("p_retailprice"), _XS, _YS), 6).alias("y"))

@@ -302,3 +302,65 @@ def test_combine_filter(spark):
 
     assert new([0, 1, 2, 3, 4], [True, True, False, True, False]) == ([0, 1, 0, 2, 0], {1: (1, 1), 2: (3, 1)})
     assert new([3] * 5, [True, True, False, True, False]) == ([1, 1, 0, 1, 0], {1: (0, 3)})
+
+
+def test_codes_of_stacked_parts_are_merged_by_first_occurrence(spark):
+    listed = spark.createDataFrame([(0, 1, "b"), (0, 2, "a"), (1, 1, "c"), (1, 2, "a"), (2, 1, None), (2, 2, "b")], "part int, code int, label string")
+    rows = spark.createDataFrame(
+        [(0, 0, 2), (1, 1, 1), (2, 1, 2), (3, 2, 2), (4, 2, 1), (5, 0, 0), (6, 0, 3), (7, 1, -1), (8, 3, 1), (9, 0, None)], "row_id long, part int, code int")
+    assert column(grouping.merge_codes(rows, listed, "part", "code", "label"), "merged") == [2, 3, 2, 1, 4, 0, 0, 0, 0, 0]
+    assert grouping.merge_codes(rows.limit(0), listed, "part", "code", "label").count() == 0
+    assert column(grouping.merge_codes(rows, listed.limit(0), "part", "code", "label"), "merged") == [0] * 10
+
+
+def test_groups_start_again_in_each_part(spark):
+    rows = [("y", 1), ("x", 1), ("y", 1), ("x", 2), (None, 2), ("y", 2), ("x", 2)]
+    got = grouping.group_ids(frame(spark, rows, "row_id long, k string, part int"), ["k"], "row_id", parts=["part"])
+    assert column(got, "group_id") == [1, 2, 1, 1, 2, 3, 1]
+    assert column(got, "first_row") == [0, 1, 0, 3, 4, 5, 3]
+
+
+def test_sorted_ids_with_filter_and_start(spark):
+    df = frame(spark, [2.0, 1.0, 3.0, 1.0, None])
+    got = grouping.sorted_group_ids(df, ["x"], keep=F.col("row_id") != 2, start=0)
+    assert column(got, "group_id") == [2, 1, 0, 1, 0]
+    assert column(grouping.sorted_group_ids(df, ["x"]), "group_id") == [3, 2, 4, 2, 1]
+
+
+def test_bins_are_counted_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "BLOCK", 3)
+    got = grouping.bin_count(frame(spark, [(k,) for k in [0, 1, 1, 4, 7, 7, 7, 9]], "row_id long, k int"), "k", 8).orderBy("bin").collect()
+    assert [r.n for r in got] == [1, 2, 0, 0, 1, 0, 0, 3, 0]
+    assert [r.first for r in got] == [0, 1, 3, 3, 3, 4, 4, 4, 7]
+
+
+def test_interpolation_with_a_table_in_each_row(spark):
+    rows = [
+        (0.5, [0.0, 1.0], [0.0, 10.0]), (-1.0, [0.0, 1.0], [0.0, 10.0]), (5.0, [0.0, 1.0, 2.0], [0.0, 1.0, 5.0]), (1.0, [0.0, 1.0, 2.0], [0.0, 1.0, 5.0]),
+        (NAN, [0.0, 1.0], [0.0, 10.0]), (None, [0.0, 1.0], [0.0, 1.0]), (1.0, None, [1.0]), (1.0, [1.0], [1.0]), (1.0, [0.0, 1.0], [1.0]), (1.0, [], []),
+    ]
+    df = frame(spark, rows, "row_id long, x double, xs array<double>, ys array<double>")
+    line, ends = (df.withColumn("y", interp.interpolate_rows(F.col("x"), F.col("xs"), F.col("ys"), clip)) for clip in (False, True))
+    assert column(line, "y") == [5.0, -10.0, 17.0, 1.0, *[None] * 6]
+    assert column(ends, "y") == [5.0, 0.0, 5.0, 1.0, *[None] * 6]
+
+
+def test_mode_and_median_by_counts(spark):
+    rows = [("a", 2.0, "q"), ("a", 1.0, "p"), ("a", 2.0, "p"), ("a", 1.0, None), ("a", NAN, None), ("b", None, None), (None, 3.0, "z")]
+    df = frame(spark, rows, "row_id long, k string, x double, s string")
+    assert {r.k: r.mode for r in aggregates.mode_distributed(df, ["k"], "x").collect()} == {"a": 1.0, "b": None, None: 3.0}
+    assert {r.k: r.mode for r in aggregates.mode_distributed(df, ["k"], "s", floating=False).collect()} == {"a": "p", "b": None, None: "z"}
+    assert {r.k: r.median for r in aggregates.median_distributed(df, ["k"], "x").collect()} == {"a": 1.5, "b": None, None: 3.0}
+
+
+@pytest.mark.parametrize("text,pattern,seconds", [
+    ("2001-02-03 04:05:06", "%F %T", 981173106), ("3 Feb 2001 04:05 PM", "%e %b %Y %I:%M %p", 981216300), ("02/03/01 04:05", "%D %R", 981173100), ("100% 2001", "100%% %Y", 978307200),
+])
+def test_more_strptime_directives(spark, text, pattern, seconds):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(datetimes.strptime_nanos(F.col("t"), pattern).alias("n")).first().n == seconds * 10**9
+
+
+def test_unknown_strptime_directive_raises(spark):
+    with pytest.raises(ValueError):
+        datetimes.strptime_nanos(F.lit("x"), "%Q")
