@@ -38,6 +38,8 @@ SAMPLE, FOLDS, KEPT = 4000, 5, 4096
 PRECISION = 0.8
 #: Distinct words whose features a worker remembers; the table is emptied when full.
 REMEMBERED = 200_000
+#: Rows that are scored at once.
+_ROWS = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -165,21 +167,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
 class _Scorer:
     def __init__(self, chain: Chain):
-        self.chain, self.known = chain, set().union(*(m.weight for m in chain.models))
-        self.of: dict[str, frozenset] = {}
+        self.chain, self.names = chain, sorted(set().union(*(m.weight for m in chain.models)))
+        self.slot = {name: i for i, name in enumerate(self.names)}
+        self.of: dict[str, tuple] = {}  # of slots, whose numbers all words share
 
     def logits(self, text: str | None) -> list[float]:
         present: set[int] = set()
-        of = self.of
+        of, slot, names = self.of, self.slot, self.names
         for word in set(_WORD.findall((text or "").lower())):
             got = of.get(word)
             if got is None:
                 if len(of) >= REMEMBERED:
                     of.clear()
-                got = of[word] = frozenset(word_features(word) & self.known)
+                got = of[word] = tuple([slot[f] for f in word_features(word) if f in slot])
             if got:
-                present |= got
-        return self.chain.logits(sorted(present))
+                present.update(got)
+        return self.chain.logits([names[i] for i in sorted(present)])
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -194,7 +197,7 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "")
     def run(batches):
         scorer = _Scorer(shared.value)
         limit = shared.value.threshold
-        for b in batches:
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             made = np.array([scorer.logits(t) for t in b.column(at).to_pylist()]).reshape(-1, len(CATEGORIES))
             odds = [pa.array(_probability(made[:, c])) for c in range(len(CATEGORIES))]
             yield pa.RecordBatch.from_arrays([*b.columns, *odds, pa.array(made[:, -1] >= limit)], names=names)
