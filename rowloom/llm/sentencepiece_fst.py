@@ -2,7 +2,9 @@
 
 The model file is compiled into one transducer, a composition of three:
 
-* the normaliser: a word mark before the text, and for each space;
+* the normaliser: the model's character map, which reads the longest sequence it knows and writes another
+  (compiled from the double-array trie in the model file), the removal of extra white space where the
+  model asks for it, and a word mark before the text and for each space;
 * the pieces: for each piece a path that reads its characters and writes its id, and for a character
   of no piece a path that writes the ids of its UTF-8 bytes (byte fallback);
 * the weights, in the tropical semiring.  For a unigram model a piece weighs minus its score.  For a
@@ -12,7 +14,8 @@ The model file is compiled into one transducer, a composition of three:
 
 Encoding composes the transducer with the input lazily and takes the shortest path.  No piece goes on
 past a character into a word mark (checked when compiling), so a text's shortest path is the
-concatenation of those of its words, which are remembered in a bounded table.  Decoding is the inverse.
+concatenation of those of its words, which are remembered in a bounded table.  Decoding is the inverse,
+up to what the normaliser changed: ``round_trip`` is false for texts that it alters.
 
 Defined cases: a null text gives null ids; an empty text gives no ids; a text with the word mark itself
 is encoded as the model does and decodes to a space, so ``round_trip`` is false for it; other columns
@@ -51,18 +54,88 @@ def read_model(path: str) -> dict:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     norm = model.normalizer_spec
-    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only models without a character map and without white-space removal are supported")
+    if model.trainer_spec.treat_whitespace_as_suffix or not norm.escape_whitespaces:
+        raise ValueError("only models that write white space as a mark before the word are supported")
     if model.trainer_spec.model_type not in (_UNIGRAM, _BPE):
         raise ValueError("only unigram and BPE models are supported")
     return {
         "bpe": model.trainer_spec.model_type == _BPE,
         "prefix": norm.add_dummy_prefix,
+        "squeeze": norm.remove_extra_whitespaces,
+        "map": character_map(norm.precompiled_charsmap),
         "fallback": model.trainer_spec.byte_fallback,
         "pieces": [(p.piece, p.score, p.type) for p in model.pieces],
     }
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """Sequences and what the normaliser writes for them, read out of a model's compiled map.
+
+    The map is a double-array trie behind its size in bytes, then the written texts, each ended by a zero byte.
+    A unit holds the label that leads to it, a leaf mark and the offset of its children; a leaf holds
+    where the written text begins.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    labels = np.arange(1, 256)
+    made, open_ = {}, [(0, b"")]
+    while open_:
+        at, read = open_.pop()
+        unit = int(units[at])
+        base = at ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if unit & 256:
+            start = int(units[base]) & 0x7FFFFFFF
+            made[read.decode()] = texts[start : texts.index(b"\0", start)].decode()
+        below = base ^ labels
+        below = below[below < len(units)]
+        met = below[(units[below] & 0x800000FF) == (base ^ below)]
+        open_ += [(int(q), read + bytes([base ^ int(q)])) for q in met]
+    return made
+
+
+class Normaliser:
+    """Reads the longest known sequence at each place and writes what the model's map has for it."""
+
+    def __init__(self, model: dict):
+        self.map, self.squeeze = dict(model.get("map") or {}), model.get("squeeze", False)
+        self.mark = MARK if model["prefix"] else ""
+        for piece, _, kind in model["pieces"] if self.map else ():
+            if kind == _USER:  # pieces that the model's maker named stay as they are
+                self.map[piece] = piece
+        self.longest: dict[str, int] = {}
+        for read in self.map:
+            self.longest[read[0]] = max(len(read), self.longest.get(read[0], 0))
+        self.starts = re.compile("[" + "".join(map(re.escape, sorted(self.longest))) + "]") if self.map else None
+
+    def written(self, text: str) -> str:
+        """``text`` with its known sequences replaced, from left to right."""
+        if not self.starts or not (met := self.starts.search(text)):
+            return text
+        out, done, known = [], 0, self.map
+        while met:
+            k = met.start()
+            for n in range(self.longest[text[k]], 0, -1):
+                if (got := known.get(text[k : k + n])) is not None:
+                    out += text[done:k], got
+                    done = k + n
+                    break
+            else:
+                n = 1
+            met = self.starts.search(text, k + n)
+        return "".join(out) + text[done:]
+
+    def __call__(self, text: str) -> str:
+        made = self.written(text)
+        if self.squeeze:
+            made = re.sub(" {2,}", " ", made).strip(" ")
+            if not made:
+                return ""
+        made = self.mark + made.replace(" ", MARK)
+        return made.rstrip(MARK) if self.squeeze else made
+
+
 class _Remembered(dict):
     """Words and the ids of their paths; finds the path of a word when it is first asked for."""
 
@@ -82,7 +155,7 @@ class _Remembered(dict):
 
 class Transducer:
     def __init__(self, model: dict):
-        self.model, self.pieces = model, model["pieces"]
+        self.model, self.pieces, self.normal = model, model["pieces"], Normaliser(model)
         written = [i for i, p in enumerate(self.pieces) if p[2] in (_NORMAL, _USER)]
         self.id_of = {self.pieces[i][0]: i for i in written}
         self.score = {self.pieces[i][0]: self.pieces[i][1] for i in written}
@@ -106,6 +179,8 @@ class Transducer:
             usable = {p for p in self.id_of if len(p) == 1 or p in self.left}
         else:
             usable = set(self.id_of)
+            #: Weight of a character that is no piece by itself: 10 more than the heaviest piece, as in the library.
+            self.strange = 10 - min(self.score.values(), default=0.0)
         #: States of the piece transducer by the characters read, with the id that may be written there, or -1.
         self.states = {p[:i]: -1 for p in usable for i in range(1, len(p))} | {p: self.id_of[p] for p in usable}
         self.borders: dict[int, bool] = {}
@@ -201,12 +276,13 @@ class Transducer:
         return [t[0] for t in trail]
 
     def _lightest_path(self, word: str) -> list[int]:
-        n = len(word)
+        n, of = len(word), self.id_of
         cost, came = [0.0] + [INFINITY] * n, [(0, -1)] * (n + 1)
         for k in range(n):
-            for t in self._arcs(word, k):
+            arcs = self._arcs(word, k)
+            for t in arcs if arcs[0] < 0 or word[k] in of else [*arcs, -1]:
                 i = k + (len(self.pieces[t][0]) if t >= 0 else 1)
-                total = cost[k] - self.pieces[t][1] if t >= 0 else cost[k] + 1e6  # no piece has the character
+                total = cost[k] - self.pieces[t][1] if t >= 0 else cost[k] + self.strange
                 if total < cost[i]:
                     cost[i], came[i] = total, (k, t)
         out = []
@@ -228,16 +304,27 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        whole = (MARK if self.model["prefix"] else "") + text.replace(" ", MARK)
+        whole = self.normal(text)
         words = self.words.findall(whole) if self.by_word else [whole]
         known = self.remembered
-        return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
+        ids = np.frombuffer(b"".join([known[w] for w in words]), np.int32)
+        if not self.model["fallback"] and len(ids):  # a run of unknown characters is one id
+            strange = ids == self.unknown
+            ids = ids[~(strange & np.r_[False, strange[:-1]])]
+        return ids
 
     def decode(self, ids) -> str:
         of = self.text_of
-        raw = b"".join([of[i] for i in ids])
-        if self.model["prefix"] and raw[:1] == b" ":
-            raw = raw[1:]
+        if self.model.get("squeeze"):  # each piece before the first text loses a mark
+            k, first = 0, b""
+            while k < len(ids) and not first:
+                first = of[ids[k]]
+                first = first[1:] if first[:1] == b" " and self.pieces[ids[k]][2] != _BYTE else first
+                k += 1
+            raw = first + b"".join([of[i] for i in ids[k:]])
+        else:
+            raw = b"".join([of[i] for i in ids])
+            raw = raw[1:] if self.model["prefix"] and raw[:1] == b" " else raw
         return raw.decode("utf-8", "replace")
 
 
@@ -246,7 +333,7 @@ _COMPILED: dict[str, Transducer] = {}
 
 def _transducer(model: dict) -> Transducer:
     """One transducer, with its remembered words, for all tasks of a worker."""
-    key = str(hash((model["bpe"], model["prefix"], tuple(model["pieces"]))))
+    key = str(hash((model["bpe"], model["prefix"], model["squeeze"], tuple(model["map"].items()), tuple(model["pieces"]))))
     if key not in _COMPILED:
         _COMPILED[key] = Transducer(model)
         keep_between_tasks("sentencepiece", _COMPILED.clear)
