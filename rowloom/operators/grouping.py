@@ -31,6 +31,22 @@ def group_ids(
     return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
+def rolling_state(df: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """What a rolling grouping knows at each row: ``bin`` (from 0, by first occurrence), ``running`` rows of the key so
+    far, this one counted, and ``uniques`` so far.
+
+    Uniques are a running maximum of the bins: inside blocks of ``BLOCK`` rows, then over the maxima of the blocks before.
+    """
+    rows = with_position(group_ids(df, keys, row, name="bin", start=0), [row], "__pos").withColumn("__block", F.floor(F.col("__pos") / BLOCK))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per BLOCK rows
+    earlier = rows.groupBy("__block").agg(F.max("bin").alias("__top")).select("__block", F.max("__top").over(before).alias("__before"))
+    inside = Window.partitionBy("__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__inside", F.max("bin").over(inside)).join(earlier, "__block")
+    rows = rows.withColumn("uniques", F.greatest("__before", "__inside") + 1)
+    rows = rows.withColumn("running", F.row_number().over(Window.partitionBy(*keys).orderBy(row)).cast("long"))
+    return rows.drop("__pos", "__block", "__before", "__inside")
+
+
 def sorted_group_ids(df: DataFrame, keys: list[str], name: str = "group_id", keep: Column | None = None, start: int = 1) -> DataFrame:
     """Ids in the order of the keys, counted from ``start``; filtered rows get 0."""
     kept = df if keep is None else df.filter(keep)

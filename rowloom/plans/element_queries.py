@@ -323,6 +323,14 @@ def _shared(spark, name: str) -> str:
     return f"{root}/rowloom-{name}-{uuid.uuid4().hex}"
 
 
+@query('SELECT n_nationkey AS "geo/key", n_regionkey AS "geo/region" FROM nation')
+def read_folder(spark, sf):
+    path = _shared(spark, "folders")
+    n = table(spark, sf, "nation")
+    io.save(n.select(F.col("n_nationkey").alias("geo/key"), F.col("n_regionkey").alias("geo/region"), F.col("n_name").alias("text/name")), path)
+    return io.load(spark, path, folders=["geo"])
+
+
 @query("SELECT 'a' AS section, n_nationkey, n_name FROM nation UNION ALL SELECT 'b', r_regionkey, r_name FROM region")
 def sections_append(spark, sf):
     path = _shared(spark, "sections")
@@ -353,6 +361,18 @@ def stream_running_ema(spark, sf):
     return spark.read.parquet(path).withColumn("ema", F.round("ema", 5))
 
 
+@query("""
+SELECT event_type AS key, event_id AS row, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW), 4) AS total FROM events
+""")
+def stream_time_window(spark, sf):
+    """The window over the last 500 time units with its state kept across micro-batches; the clock is the event id."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    events = events.select("event_type", "event_id", F.col("event_id").alias("t"), "value")
+    path = _shared(spark, "stream")
+    running.drain(running.running_time_window(events, "event_type", "t", "event_id", "value", 500), path, path + "-state")
+    return spark.read.parquet(path).withColumn("total", F.round("total", 4))
+
+
 @query("""
 SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 """)

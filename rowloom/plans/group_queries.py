@@ -261,6 +261,18 @@ def running_group_count(spark, sf):
     return packed.select("event_id", F.col("place").cast("long").alias("running"))
 
 
+@query("""
+WITH f AS (SELECT event_type, user_id % 50 AS u, min(event_id) AS first_row FROM events GROUP BY 1, 2),
+     n AS (SELECT *, row_number() OVER (ORDER BY first_row) - 1 AS bin FROM f)
+SELECT event_id, bin, count(*) OVER (PARTITION BY bin ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running,
+       max(bin) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1 AS uniques
+FROM events e JOIN n ON n.event_type = e.event_type AND n.u = e.user_id % 50
+""")
+def rolling_key_state(spark, sf):
+    e = table(spark, sf, "events").withColumn("u", F.col("user_id") % 50)
+    return grouping.rolling_state(e, ["event_type", "u"], "event_id").select("event_id", "bin", "running", "uniques")
+
+
 @query("""
 WITH e AS (SELECT event_id, user_id % 20 AS b, value > 40 AND user_id % 20 > 0 AS alive FROM events),
 n AS (SELECT b, min(event_id) AS first_row, count(*) AS count, row_number() OVER (ORDER BY min(event_id)) AS bin FROM e WHERE alive GROUP BY b)

@@ -22,13 +22,22 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, type string, nullable boolean")
 
 
-def load(spark: SparkSession, path: str, include: list[str] | None = None, where: Column | None = None, sections: list[str] | None = None) -> DataFrame:
-    """Read some columns and rows; both reach the scan."""
+def load(
+    spark: SparkSession, path: str, include: list[str] | None = None, where: Column | None = None, sections: list[str] | None = None, folders: list[str] | None = None
+) -> DataFrame:
+    """Read some columns and rows; both reach the scan.
+
+    A column named ``folder/name`` lies in that folder; with ``folders`` only the columns of these are read, and with
+    ``include`` too only those that both name.
+    """
     df = spark.read.parquet(path)
     if sections is not None:
         df = df.filter(F.col("section").isin(sections))
     if where is not None:
         df = df.filter(where)
+    if folders is not None:
+        include = [c for c in include or df.columns if c.startswith(tuple(f.rstrip("/") + "/" for f in folders))]
+        return df.select(*[F.col(f"`{c}`") for c in include])
     return df.select(*include) if include else df
 
 

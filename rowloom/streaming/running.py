@@ -45,6 +45,29 @@ def running_ema(stream: DataFrame, key: str, time: str, row: str, x: str, rate:
         run, f"key {kinds[key]}, row {kinds[row]}, ema double", "e double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def running_time_window(stream: DataFrame, key: str, time: str, row: str, x: str, delta: int) -> DataFrame:
+    """The sum of each row and the earlier rows of its key at most ``delta`` time units back, across micro-batches.
+
+    ``time`` is a whole number, and a later batch holds no earlier times of a key.  A key's state is its rows of the last
+    ``delta`` units.  Invalid values make the sums that they are in invalid.
+    """
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old_t, old_x = state.get if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values([time, row])
+        t, v = np.r_[np.array(old_t, np.int64), rows[time].to_numpy(np.int64)], np.r_[np.array(old_x, float), rows[x].to_numpy(float)]
+        at = np.arange(len(old_t), len(t))
+        first = np.searchsorted(t, t[at] - delta)
+        sums = np.add.reduceat(v, np.column_stack([first, at + 1]).ravel()[:-1])[::2]
+        keep = np.searchsorted(t, t[-1] - delta)
+        state.update((t[keep:].tolist(), v[keep:].tolist()))
+        yield pd.DataFrame({"key": [keys[0]] * len(rows), "row": rows[row].to_numpy(), "total": sums})
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    return stream.groupBy(key).applyInPandasWithState(
+        run, f"key {kinds[key]}, row {kinds[row]}, total double", "t array<bigint>, x array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_sums(stream: DataFrame, time: str, x: str, keys: list[str], size: str, late: str) -> DataFrame:
     """Tumbling sums with a watermark."""
     w = F.window(time, size)

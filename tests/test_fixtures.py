@@ -364,3 +364,32 @@ def test_more_strptime_directives(spark, text, pattern, seconds):
 def test_unknown_strptime_directive_raises(spark):
     with pytest.raises(ValueError):
         datetimes.strptime_nanos(F.lit("x"), "%Q")
+
+
+def test_rolling_state(spark):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(["b", "a", "b", None, "a", "c", None])], "row long, k string")
+    got = [(r.bin, r.running, r.uniques) for r in grouping.rolling_state(df, ["k"], "row").orderBy("row").collect()]
+    assert got == [(0, 1, 1), (1, 1, 2), (0, 2, 2), (2, 1, 3), (1, 2, 3), (3, 1, 4), (2, 2, 4)]
+    assert grouping.rolling_state(df.limit(0), ["k"], "row").count() == 0
+
+
+def test_folders(spark, tmp_path):
+    path = str(tmp_path / "f")
+    io.save(spark.createDataFrame([(1, 2, "x")], "`a/k` int, `ab/k` int, plain string"), path)
+    assert io.load(spark, path, folders=["a"]).columns == ["a/k"]
+    assert io.load(spark, path, folders=["a/", "ab"]).columns == ["a/k", "ab/k"]
+    assert io.load(spark, path, include=["ab/k", "plain"], folders=["ab"]).columns == ["ab/k"]
+
+
+def test_streamed_time_window(spark, tmp_path):
+    from rowloom.streaming import running
+
+    made = [(i, i % 3, i // 2, float(i * i % 11)) for i in range(60)]
+    for part in range(3):  # a micro-batch for each file
+        spark.createDataFrame(made[part * 20 : part * 20 + 20], "row long, k long, t long, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("row long, k long, t long, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running.drain(running.running_time_window(rows, "k", "t", "row", "x", 4), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.row: r.total for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for i, k, t, _ in made:
+        assert got[i] == sum(x for j, kk, tt, x in made if kk == k and j <= i and t - tt <= 4), i
+    assert len(got) == len(made)
