@@ -89,16 +89,18 @@ def set_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
 
 
 def fingerprints(df: DataFrame, k: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """__id, __hash (of the text) and fp of every row; written out, since much is made of it."""
+    """__id, __hash (of the text), fp and low (the lowest 64 bits of fp, signed) of every row; written out, since much is made of it."""
 
     def run(batches):
         for b in batches:
-            made = pa.array([fingerprint(t, k, bits) for t in b.column("__text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__hash"), made], names=["__id", "__hash", "fp"])
+            made = [fingerprint(t, k, bits) for t in b.column("__text").to_pylist()]
+            low = pa.array([int.from_bytes(fp[:8], "little", signed=True) for fp in made], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__id"), b.column("__hash"), pa.array(made, pa.binary()), low], names=["__id", "__hash", "fp", "low"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(*row_key(id_col, text_col), F.col(text_col).alias("__text"))
-    return cut_lineage(rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, fp binary"))
+    return cut_lineage(rows.mapInArrow(tidy(run), f"__id {kind}, __hash long, fp binary, low long"))
 
 
 def pigeonhole_keys(bits: int, radius: int) -> list[np.ndarray]:
@@ -195,10 +197,10 @@ def links(nodes: DataFrame, keys: list[np.ndarray], radius: int, bucket: int = B
 
 def near_components(df: DataFrame, k: int = 3, bits: int = 64, radius: int = 3, keys: list[np.ndarray] | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id, __hash, fp, root and first (smallest id of the component) for every row."""
+    """__id, __hash, fp, low, node, root and best (with the smallest id of the component) for every row."""
     rows = fingerprints(df, k, bits, id_col, text_col)
     # 64-bit fingerprints are their own numbers; wider ones go by a 64-bit hash.
-    number = F.conv(F.hex(F.reverse("fp")), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
+    number = F.col("low") if bits == 64 else F.xxhash64("fp")
     rows = rows.withColumn("node", number)
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")).alias("first")
     nodes = cut_lineage(rows.groupBy("node", "fp").agg(first))
@@ -226,4 +228,4 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, min_similarity: float = 0.8,
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     rows = near_components(table(spark, sf_dir, "documents"))
     return rows.select(
-        F.col("__id").alias("doc_id"), F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), F.col("best.__id").alias("component_id"))
+        F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("low"), 16, "0")).alias("fingerprint"), F.col("best.__id").alias("component_id"))

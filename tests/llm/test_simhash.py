@@ -59,6 +59,18 @@ def test_query_against_brute_force(spark):
     assert {i: c for i, (_, c) in got.items()} == parts
 
 
+def test_query_writes_fingerprints_from_the_highest_bit(spark, tmp_path):
+    """On bytes, which are no UTF-8, Spark's reverse moves characters."""
+    texts = [*corpus(), *(f"one{i} two three" for i in range(300))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    parts = brute_components(prints)
+    rows = simhash.op1_simhash(spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in rows}
+    assert len(rows) == len(texts)
+    assert got == {i: (f"{fp:016x}", parts[i]) for i, fp in prints.items()}
+
+
 def test_large_buckets_are_cut_without_losing_links(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, 8, dtype=np.uint8)
