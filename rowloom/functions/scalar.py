@@ -25,12 +25,15 @@ _WHOLE = float(1 << 53)
 
 
 def floor(x: Column) -> Column:
-    """The floor as a double; NaN and infinities stay."""
-    return F.when(F.abs(x) < _WHOLE, F.floor(x).cast("double")).otherwise(x.cast("double"))
+    """The floor as a double; NaN, infinities and the sign of a zero stay."""
+    x = x.cast("double")
+    return F.when((x >= 0) & (x < 1), x * 0.0).when(F.abs(x) < _WHOLE, F.floor(x).cast("double")).otherwise(x)
 
 
 def ceil(x: Column) -> Column:
-    return F.when(F.abs(x) < _WHOLE, F.ceil(x).cast("double")).otherwise(x.cast("double"))
+    """The ceiling as a double, which is minus zero between -1 and 0."""
+    x = x.cast("double")
+    return F.when((x > -1) & (x <= 0), x * 0.0).when(F.abs(x) < _WHOLE, F.ceil(x).cast("double")).otherwise(x)
 
 
 def floor_divide(x: Column, y: Column, floating: bool = False) -> Column:
@@ -103,6 +106,12 @@ def not_equal(x: Column, y: Column) -> Column:
     return ~equal(x, y)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half up; what rounds to zero keeps its sign."""
+    made = F.round(x, digits)
+    return F.when(made == 0, x * 0.0).otherwise(made)
+
+
 def truncate(x: Column) -> Column:
     """Towards zero, as a double; NaN and infinities stay."""
     return F.when(x < 0, ceil(x)).otherwise(floor(x))

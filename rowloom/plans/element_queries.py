@@ -59,12 +59,12 @@ FROM customer
 """)
 def elementwise_unary(spark, sf):
     x = F.col("c_acctbal")
-    finite = lambda c: F.round(F.when(scalar.is_finite(c), c), 6)
+    finite = lambda c: scalar.rounded(F.when(scalar.is_finite(c), c), 6)
     return table(spark, sf, "customer").select(
         "c_custkey", F.abs(x).alias("a"), (-x).alias("neg"), F.signum(x).alias("sgn"), scalar.floor(x).alias("fl"), scalar.ceil(x).alias("ce"),
-        scalar.truncate(x).alias("tr"), F.rint(x).alias("ri"), F.round(F.sqrt(F.abs(x)), 6).alias("sq"), F.round(F.cbrt(x), 6).alias("cb"),
+        scalar.truncate(x).alias("tr"), F.rint(x).alias("ri"), F.round(F.sqrt(F.abs(x)), 6).alias("sq"), scalar.rounded(F.cbrt(x), 6).alias("cb"),
         finite(scalar.log(x)).alias("ln"), finite(scalar.log(x, "10")).alias("l10"), finite(scalar.log(x, "2")).alias("l2"), (~scalar.is_finite(scalar.log(x))).alias("ln_is_not_finite"),
-        F.round(F.exp(x / 10000), 8).alias("ex"), F.round(F.pow(F.lit(2.0), x / 10000), 8).alias("ex2"), F.round(F.sin(x), 6).alias("si"), scalar.sign_bit(x).alias("sb"))
+        F.round(F.exp(x / 10000), 8).alias("ex"), F.round(F.pow(F.lit(2.0), x / 10000), 8).alias("ex2"), scalar.rounded(F.sin(x), 6).alias("si"), scalar.sign_bit(x).alias("sb"))
 
 
 @query(f"""

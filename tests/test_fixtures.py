@@ -304,6 +304,17 @@ def test_combine_filter(spark):
     assert new([3] * 5, [True, True, False, True, False]) == ([1, 1, 0, 1, 0], {1: (0, 3)})
 
 
+def test_zeros_keep_their_sign(spark):
+    values = [-0.99, -0.01, -0.0, 0.0, 0.4, -1e-300]
+    made = {"floor": scalar.floor, "ceil": scalar.ceil, "truncate": scalar.truncate, "rounded": lambda x: scalar.rounded(x, 1)}
+    rows = frame(spark, values).select("row_id", *[f(F.col("x")).alias(k) for k, f in made.items()]).orderBy("row_id").collect()
+    text = {k: [str(r[k]) for r in rows] for k in made}
+    assert text["floor"] == ["-1.0", "-1.0", "-0.0", "0.0", "0.0", "-1.0"]
+    assert text["ceil"] == ["-0.0", "-0.0", "-0.0", "0.0", "1.0", "-0.0"]
+    assert text["truncate"] == ["-0.0", "-0.0", "-0.0", "0.0", "0.0", "-0.0"]
+    assert text["rounded"] == ["-1.0", "-0.0", "-0.0", "0.0", "0.4", "-0.0"]
+
+
 def test_codes_of_stacked_parts_are_merged_by_first_occurrence(spark):
     listed = spark.createDataFrame([(0, 1, "b"), (0, 2, "a"), (1, 1, "c"), (1, 2, "a"), (2, 1, None), (2, 2, "b")], "part int, code int, label string")
     rows = spark.createDataFrame(
