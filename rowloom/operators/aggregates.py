@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.nulls import clean, invalid, strict
+from rowloom.operators.lineage import cut
 
 _PLAIN = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}
 
@@ -84,14 +87,35 @@ def _value_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return valid.groupBy(*keys, x).agg(F.count(x).alias("__n"))
 
 
+def _ranked_counts(df: DataFrame, keys: list[str], x: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """The value counts with ``__to``, the rows of the group up to the value, and ``__all``, those of the group.
+
+    Values are dealt by ranges of (keys, value), so that the values of one group are shared among tasks: running sums stay inside a
+    range and are shifted by the group's totals in the ranges before.  ``more`` are columns made of ``__all``, once per group and range.
+    """
+    counts = _value_counts(df, keys, x)
+    placed = cut(counts.repartitionByRange(*keys, x).withColumn("__part", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("__part", *keys).agg(F.sum("__n").alias("__rows"))  # one row per group, and per range that one is cut by
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).withColumn("__all", F.sum("__rows").over(whole))
+    named = {k: f"__key{i}" for i, k in enumerate(keys)}
+    shifts = parts.withColumns(more or {}).select(
+        F.col("__part").alias("__of"), *[F.col(k).alias(n) for k, n in named.items()], "__before", "__all", *(more or {}))
+    met = F.col("__part") == F.col("__of")
+    for k, n in named.items():
+        met = met & F.col(k).eqNullSafe(F.col(n))
+    inside = F.sum("__n").over(Window.partitionBy("__part", *keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("__inside", inside).join(shifts, met)
+    return ranked.withColumn("__to", F.col("__before") + F.col("__inside")).drop("__part", "__of", *named.values(), "__before", "__inside")
+
+
 def quantile_midpoint_distributed(df: DataFrame, keys: list[str], x: str, q: float, name: str = "quantile") -> DataFrame:
     """The same by rank instead of by list: pre-aggregated value counts, so a huge group never meets in one array.
 
     A group without a valid value gets NULL.
     """
-    counts = _value_counts(df, keys, x)
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("__to", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    ranked = _ranked_counts(df, keys, x)
     at = (F.col("__all") - 1) * F.lit(q)
 
     def value(rank: Column) -> Column:
@@ -126,15 +150,20 @@ def trim_limits(largest: int) -> list[int]:
     return limits
 
 
+def _trim_counts(n: Column) -> Column:
+    """:func:`trim_count` of a column; a step table of it grows with the largest group, and so would the work of each row that reads it."""
+
+    @F.pandas_udf("long")
+    def run(counts: pd.Series) -> pd.Series:
+        count = functools.lru_cache(100_000)(trim_count)
+        return pd.Series([count(int(v)) for v in counts], dtype="int64")
+
+    return run(n)
+
+
 def trimmed_mean(df: DataFrame, keys: list[str], x: str, name: str = "trimmed") -> DataFrame:
     """Mean of the values between the k-th smallest and the k-th largest; NULL where n <= 2 k."""
-    counts = _value_counts(df, keys, x)
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("__to", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
-    # The rule is computed once, up to the largest group; its step table has a few entries per 10,000 rows.
-    largest = max(1, counts.groupBy(*keys).agg(F.sum("__n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0])
-    k = F.size(F.filter(F.array(*[F.lit(v) for v in trim_limits(largest)]), lambda v: v < F.col("__all")))
-    ranked = ranked.withColumn("__k", k)
+    ranked = _ranked_counts(df, keys, x, {"__k": _trim_counts(F.col("__all"))})
     # Ties of the bounds are kept: a value counts if any of its copies lies inside.
     inside = (F.col("__to") > F.col("__k")) & (F.col("__to") - F.col("__n") < F.col("__all") - F.col("__k"))
     kept = F.when(inside & F.col(x).isNotNull() & (F.col("__all") > 2 * F.col("__k")), F.col("__n"))

@@ -62,6 +62,23 @@ def test_trimmed_mean(spark):
     assert got == {"a": 50.5, "b": 5.0, "c": None}
 
 
+def test_ranks_of_groups_that_ranges_cut(spark):
+    values = {"a": [float(i * 37 % 2501) for i in range(25_000)], None: [float(i % 7) for i in range(900)], "b": [2.0, None, NAN, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "g string, x double").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be put together
+    try:
+        trimmed = {r.g: r.trimmed for r in aggregates.trimmed_mean(df, ["g"], "x").collect()}
+        low = {r.g: r.quantile for r in aggregates.quantile_midpoint_distributed(df, ["g"], "x", 0.2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, vs in values.items():
+        v = sorted(x for x in vs if x is not None and x == x)
+        k, at = aggregates.trim_count(len(v)), (len(v) - 1) * 0.2
+        kept = [x for x in v if v[k] <= x <= v[-k - 1]]
+        assert trimmed[g] == pytest.approx(sum(kept) / len(kept), rel=1e-12)
+        assert low[g] == (v[math.floor(at)] + v[math.ceil(at)]) / 2
+
+
 def test_nth(spark):
     df = spark.createDataFrame([(1, i, float(i * i)) for i in range(4)] + [(2, 0, None)], "g int, i int, x double")
     assert {r.g: r.nth for r in aggregates.nth(df, ["g"], "x", ["i"], 2).collect()} == {1: 4.0, 2: None}

@@ -40,6 +40,14 @@ def test_stays_in_the_jvm(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(spark, name))
 
 
+@pytest.mark.parametrize("name,x", [("group_trimmed_mean", "l_extendedprice"), ("group_quantile_midpoint", "v"), ("group_median", "v")])
+def test_ranks_of_a_group_are_shared_among_tasks(spark, name, x):
+    p = plan(spark, name)
+    ordered = re.findall(rf"windowspecdefinition\(([^()]*), {x}#\d+L? ASC", p)
+    assert ordered and all(keys.startswith("__part") for keys in ordered)
+    assert "lambda" not in p  # a table of trimming steps that each row reads
+
+
 def test_every_query_with_sql_is_registered():
     assert set(catalog.oracle_sql()) <= set(QUERIES)
     assert len(QUERIES) > 80
