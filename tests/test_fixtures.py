@@ -421,3 +421,47 @@ def test_streamed_time_window(spark, tmp_path):
     for i, k, t, _ in made:
         assert got[i] == sum(x for j, kk, tt, x in made if kk == k and j <= i and t - tt <= 4), i
     assert len(got) == len(made)
+
+
+@pytest.mark.parametrize("size", [1, 40, 700, 10_000])
+@pytest.mark.parametrize("dealt", ["random", "rising", "falling"])
+def test_rows_of_a_stream_are_sorted_in_bounded_runs(size, dealt):
+    import pandas as pd
+
+    from rowloom.streaming import running
+
+    n = 60 if size == 1 else 3000
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"t": rng.integers(0, n // 3, n), "row": rng.permutation(n), "name": [f"r{i}" for i in range(n)]})
+    if dealt != "random":
+        rows = rows.sort_values(["t", "row"], ascending=dealt == "rising")
+    made = list(running.in_order((rows.iloc[at : at + 90] for at in range(0, n, 90)), ["t", "row"], size))
+    assert max(map(len, made)) <= max(2 * size, 16)
+    assert pd.concat(made, ignore_index=True).equals(rows.sort_values(["t", "row"], ignore_index=True))
+    assert list(running.in_order(iter([]), ["t"], size)) == []
+
+
+def test_streams_take_a_large_batch_of_a_key_in_runs(spark, tmp_path, monkeypatch):
+    from rowloom.streaming import running
+
+    monkeypatch.setattr(running, "RUN", 50)
+    made = [(i, "ab"[i % 2], i // 3, float(i * i % 13)) for i in range(1200)]
+    for part in range(2):  # a micro-batch for each file, its rows in no order
+        rows = spark.createDataFrame(made[part * 600 : part * 600 + 600], "row long, k string, t long, x double")
+        rows.orderBy(F.xxhash64("row")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("row long, k string, t long, x double").option("maxFilesPerTrigger", 1)
+    forms = {
+        "window": lambda rows: running.running_time_window(rows, "k", "t", "row", "x", 4),
+        "ema": lambda rows: running.running_ema(rows, "k", "t", "row", "x", 0.5), "counts": lambda rows: running.running_counts(rows, "k", "row")}
+    got = {}
+    for name, form in forms.items():
+        running.drain(form(source.parquet(str(tmp_path / "in"))), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        got[name] = {r.row: r for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        assert len(got[name]) == len(made)
+    average, last, seen = dict.fromkeys("ab", 0.0), dict.fromkeys("ab", 0), dict.fromkeys("ab", 0)
+    for i, k, t, x in made:
+        assert got["window"][i].total == sum(y for _, kk, tt, y in made[max(0, i - 20) : i + 1] if kk == k and t - tt <= 4)
+        average[k], last[k] = x + average[k] * math.exp(-0.5 * (t - last[k])), t
+        assert got["ema"][i].ema == pytest.approx(average[k], rel=1e-12)
+        assert got["counts"][i].seen == seen[k]
+        seen[k] += 1
